@@ -32,10 +32,11 @@ TOGETHER = 6_000_000
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: the same numbers everywhere."""
-    x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def _stays() -> np.ndarray:
