@@ -87,7 +87,7 @@ def learn_from(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float,
     ballots[:, -1] = y
     patterns, inverse, counts = np.unique(ballots, axis=0, return_inverse=True, return_counts=True)
     first = np.array([0.9 if p[-1] == 1 else 0.05 for p in patterns])
-    model = LabelModel().fit(patterns, counts.astype(float), first, correlated=True)
+    model = LabelModel().fit(patterns, counts.astype(float), np.stack([1 - first, first], 1), correlated=True)
     post = model.posterior(patterns)[inverse.ravel()]
     # Only signs that tell classes apart have a weight; the rest of the vocabulary has none.
     odds, bad, good = _odds(rows, (post >= 0.5).astype(np.int64), np.ones(len(y), bool))

@@ -10,42 +10,45 @@ NONE = -1
 
 
 class LabelModel:
-    """Class-conditional vote rates of overlapping labellers over two classes.
+    """Vote rates of overlapping labellers in each class, fitted by expectation-maximisation.
 
-    A labeller that abstains says nothing about the class.  Fitted on distinct vote patterns with their counts, so its cost does not grow with the rows.  The
-    votes of labellers that agree beyond what the class explains are discounted by their correlation."""
+    The last class is the one whose probability is wanted; the classes before it are the parts of its
+    opposite (one, or one for each way to be bad, since texts bad in one way look good to most
+    labellers).  A labeller that abstains says nothing about the class.  Fitted on distinct vote
+    patterns with their counts, so its cost does not grow with the rows.  Votes of labellers that
+    agree beyond what the class explains can be discounted by their correlation."""
 
-    def __init__(self, classes: int = 2, smooth: float = 0.5):
-        self.classes, self.smooth = classes, smooth
+    def __init__(self, smooth: float = 0.5):
+        self.smooth = smooth
 
-    def _log(self, votes: np.ndarray) -> np.ndarray:
+    def _shares(self, votes: np.ndarray) -> np.ndarray:
         out = np.tile(np.log(self.prior), (len(votes), 1))
         for j in range(votes.shape[1]):
-            says = np.concatenate([np.zeros((2, 1)), np.log(self.rate[:, j, 1:])], 1)
+            says = np.concatenate([np.zeros((len(self.prior), 1)), np.log(self.rate[:, j])], 1)
             out += self.weight[j] * says[:, votes[:, j] + 1].T
-        return out
+        out = np.exp(out - out.max(1, keepdims=True))
+        return out / out.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(class 1) of each pattern."""
-        x = self._log(votes)
-        return 1 / (1 + np.exp(np.clip(x[:, 0] - x[:, 1], -60, 60)))
+        """P(last class) of each pattern."""
+        return self._shares(votes)[:, -1] if len(votes) else np.zeros(0)
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50, correlated: bool = False) -> LabelModel:
-        """``start``: P(class 1) of each pattern to begin with."""
-        k = votes.shape[1]
+        """``start``: a row of class probabilities for each pattern to begin with."""
+        k, c = votes.shape[1], start.shape[1]
         self.weight = np.ones(k)
-        self.rate = np.zeros((2, k, 3))
+        self.rate = np.zeros((c, k, 2))
         p = start.astype(float)
         for _ in range(rounds):
-            share = np.stack([1 - p, p]) * counts
-            self.prior = (share.sum(1) + 1) / (share.sum() + 2)
+            share = (p * counts[:, None]).T
+            self.prior = (share.sum(1) + self.smooth) / (share.sum() + c * self.smooth)
             for j in range(k):
-                for v in range(3):
-                    self.rate[:, j, v] = share[:, votes[:, j] + 1 == v].sum(1) + self.smooth
-            self.rate[:, :, 1:] /= self.rate[:, :, 1:].sum(2, keepdims=True)
+                for v in range(2):
+                    self.rate[:, j, v] = share[:, votes[:, j] == v].sum(1) + self.smooth
+            self.rate /= self.rate.sum(2, keepdims=True)
             if correlated:
                 self.weight = self._discount(votes, share)
-            new = self.posterior(votes)
+            new = self._shares(votes)
             if np.abs(new - p).max(initial=0) < 1e-6:
                 break
             p = new
@@ -55,7 +58,7 @@ class LabelModel:
         """1 / (1 + what the others repeat), from correlations of the votes within the classes."""
         x = (votes == 1).astype(float) - (votes == 0)
         total = np.zeros((x.shape[1], x.shape[1]))
-        for c in range(2):
+        for c in range(len(share)):
             w = share[c] / max(share[c].sum(), 1e-9)
             d = x - w @ x
             cov = (d * w[:, None]).T @ d
