@@ -9,7 +9,9 @@ anchors, at the same place, so only windows whose anchor occurs in two documents
 windows with one anchor are sent as their bytes, to where the anchor's others are.  There:
 
 * equal runs are one string, held by the smallest doc_id among them; others lose all its windows;
-* strings that share an anchor but differ are sorted shard by shard (a shard is what one task sent),
+* strings that share an anchor but differ are cut to the windows that others hold, and made one again
+  where that makes them equal;
+* those that still differ are sorted shard by shard (a shard is what one task sent),
   giving each shard's Burrows-Wheeler transform; the transforms are merged by iterative
   interleave refinement: a round orders suffixes by one more byte, and keeps where prefixes begin to
   differ, so after 50 rounds the blocks between are the repeated strings, whichever shards they are of.
@@ -72,62 +74,88 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """All suffixes of some strings in order, and the bytes before them."""
+    """All suffixes of some strings in order, and the two bytes before each.
+
+    Bytes count from 1 (UTF-8 has none above 0xFE), and each string ends in a mark of its own, smaller
+    than any byte; marks keep the strings' order."""
 
     def __init__(self, strings: list[bytes]):
-        """Each string ends in a mark of its own, smaller than any byte; marks keep the strings' order."""
         lengths = np.array([len(s) for s in strings], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
-        text = np.zeros(int(lengths.sum()) + len(strings), np.int32)
-        text[np.arange(len(text))[~np.isin(np.arange(len(text)), starts + lengths)]] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int32) + 1
-        owner = np.repeat(np.arange(len(strings)), lengths + 1)
-        # Ranks by doubling; marks rank first, by string.
-        rank = np.where(text == 0, owner, text + len(strings)).astype(np.int64)
-        done = 1
-        end = (starts + lengths)[owner]
-        place = np.arange(len(text))
-        while rank.max(initial=-1) < len(text) - 1 or done == 1:
-            nxt = place + done
-            second = np.where(nxt <= end, rank[np.minimum(nxt, len(text) - 1)], -1)
-            order = np.lexsort((second, rank))
-            new = np.concatenate([[False], (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])])
-            rank = np.empty_like(rank)
-            rank[order] = np.cumsum(new)
+        ends = starts + lengths
+        text = np.frombuffer(b"\0".join(strings) + b"\0" * 9, np.uint8).copy()
+        n = int(lengths.sum()) + len(strings)
+        text[:n] += 1
+        text[ends] = 0
+        end = np.repeat(ends, lengths + 1)
+        # Ranks by the first eight bytes, then by doubling; what a mark ends is equal after it.
+        key = np.zeros(n, np.uint64)
+        place = np.arange(n)
+        for k in range(8):
+            key = (key << np.uint64(8)) | np.where(place + k < end, text[k : n + k], 0).astype(np.uint64)
+        rank, done = self._ranks(key), 8
+        while done <= int(lengths.max(initial=0)) and rank.max(initial=-1) < n - 1:
+            later = place + done
+            key = rank.astype(np.uint64) * np.uint64(n + 1) + np.where(later <= end, rank[np.minimum(later, n - 1)] + 1, 0).astype(np.uint64)
+            rank = self._ranks(key)
             done *= 2
         order = np.argsort(rank, kind="stable")
-        self.strings, self.n = owner[order], len(strings)
-        self.offset = order - starts[self.strings]
-        # 0 stands for the mark, before a string's first byte.
-        self.bwt = np.where(self.offset == 0, 0, text[order - 1]).astype(np.uint16)
+        owner = np.repeat(np.arange(len(strings)), lengths + 1)
+        self.n, self.strings, self.offset = len(strings), owner[order], order - starts[owner[order]]
+        one, two = text[order - 1].astype(np.uint16), text[order - 2].astype(np.uint16)
+        #: The suffix two bytes earlier begins with these; 0 where there is none.
+        self.before = np.where(self.offset >= 2, two << np.uint16(8) | one, 0).astype(np.uint16)
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.back = np.where(self.offset >= 2, row[np.maximum(order - 2, 0)], 0)
+        #: Rows of the suffixes of no and of one byte, by string.
+        self.marks, self.last, self.last_byte = row[ends], row[ends - 1], text[ends - 1].astype(np.uint16) << np.uint16(8)
+
+    @staticmethod
+    def _ranks(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(new)
+        return rank
 
 
 def merge(shards: list[Shard], depth: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes in order of ``depth`` bytes: (shard, row in the shard, block of equal prefixes).
 
-    The interleave says which shard each place of the merged order takes its next row from.  A round
-    carries it one byte further: places, taken in order and grouped by the byte before them, are
-    the new order.  Two neighbours share h + 1 bytes if they have the same byte and share h."""
+    The interleave says which row of which shard each place of the merged order has.  A round carries
+    it two bytes further: the places, taken in order and dealt by the two bytes before them, are the
+    new order of the suffixes two bytes longer.  Neighbours share h + 2 bytes if they have the same
+    two and share h.  No suffix is sorted again."""
     if not shards:
         return (np.zeros(0, np.int64),) * 3
-    sizes = np.array([len(s.bwt) for s in shards])
-    marks = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.n for s in shards])
-    every = np.concatenate([s.bwt for s in shards])
-    z = np.concatenate([marks, np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.bwt) - s.n for s in shards])])
-    block = np.zeros(len(z), np.int64)  # no byte read yet: all alike
-    for _ in range(depth):
-        byte = np.empty(len(z), np.uint16)
-        byte[np.argsort(z, kind="stable")] = every
-        order = np.argsort(byte, kind="stable")[len(marks) :]
-        z = np.concatenate([marks, z[order]])
-        new = np.concatenate([[True], (byte[order][1:] != byte[order][:-1]) | (block[order][1:] != block[order][:-1])])
-        block = np.concatenate([np.arange(len(marks)), len(marks) - 1 + np.cumsum(new)])
-    row = np.empty(len(z), np.int64)
-    row[np.argsort(z, kind="stable")] = np.concatenate([np.arange(n) for n in sizes])
-    return z.astype(np.int64), row, block
+    sizes = [len(s.before) for s in shards]
+    base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    before = np.concatenate([s.before for s in shards])
+    back = np.concatenate([s.back + b for s, b in zip(shards, base, strict=True)])
+    marks, last = (np.concatenate([getattr(s, k) + b for s, b in zip(shards, base, strict=True)]) for k in ("marks", "last"))
+    last_byte = np.concatenate([s.last_byte for s in shards])
+    m = len(marks)
+    at = np.concatenate([marks, np.setdiff1d(np.arange(len(before)), marks)])
+    block = np.zeros(len(at), np.int64)  # no byte read yet: all alike
+    for _ in range(-(-depth // 2)):
+        two = before[at]
+        on = np.flatnonzero(two)
+        # Suffixes of one byte have no row two bytes on: each is a block of its own.
+        key = np.concatenate([last_byte, two[on]])
+        order = np.argsort(key, kind="stable")
+        rows = np.concatenate([last, back[at[on]]])[order]
+        old = np.concatenate([-1 - np.arange(m), block[on]])[order]
+        key = key[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (old[1:] != old[:-1])])
+        at = np.concatenate([marks, rows])
+        block = np.concatenate([np.arange(m), m - 1 + np.cumsum(new)])
+    shard = np.searchsorted(base, at, side="right") - 1
+    return shard, at - base[shard], block
 
 
 def repeated(strings: list[bytes], holders: np.ndarray, shard_of: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(string, place) of every ``depth`` bytes that also stand in a string of a smaller holder."""
+    """(string, place) of every ``depth`` (an even number of) bytes that also stand in a string of a smaller holder."""
     members = [np.flatnonzero(shard_of == k) for k in np.unique(shard_of)]
     shards = [Shard([strings[i] for i in m]) for m in members]
     z, row, block = merge(shards, depth)
@@ -146,6 +174,32 @@ def repeated(strings: list[bytes], holders: np.ndarray, shard_of: np.ndarray, de
     return string[hit], place[hit]
 
 
+def shared_windows(strings: list[bytes], holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each string that another holder has too, by hash; (0, -1) where none."""
+    lengths = np.array([len(s) for s in strings], np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    x = np.frombuffer(b"".join(strings), np.uint8)
+    a = x.astype(np.uint64)
+    for k in (1, 2, 4):
+        a = a[:-k] | (a[k:] << np.uint64(8 * k))
+    n = len(x) - SPAN + 1
+    h = np.zeros(n, np.uint64)
+    for o in (*range(0, SPAN - 8, 8), SPAN - 8):
+        h = mixed(h ^ a[o : o + n])
+    owner = np.repeat(np.arange(len(strings)), lengths - SPAN + 1)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths - SPAN + 1) - (lengths - SPAN + 1), lengths - SPAN + 1)
+    h = h[starts[owner] + place]
+    order = np.argsort(h)
+    who = holders[owner[order]]
+    begin = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    several = np.repeat(np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin), np.diff(np.concatenate([begin, [len(h)]])))
+    hit = order[several]
+    first, last = np.full(len(strings), SPAN * 100), np.full(len(strings), -1)
+    np.minimum.at(first, owner[hit], place[hit])
+    np.maximum.at(last, owner[hit], place[hit])
+    return np.where(last < 0, 0, first), last
+
+
 def _packed(docs: np.ndarray, buckets: int, t: np.ndarray, *columns: np.ndarray):
     """Rows grouped by bucket of t: yields (bucket, selection)."""
     bucket = (t % np.uint64(buckets)).astype(np.int64)
@@ -223,7 +277,7 @@ def squeezed(df: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
 
@@ -239,14 +293,14 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
     def send(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
 
         def flush(held):
             t, docs, first, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
             bodies = [s for h in held for s in h[4]]
             rows = []
             for k, at in _packed(docs, buckets, t):
-                rows.append((k, t[at].tobytes(), docs[at].tobytes(), first[at].tobytes(), sizes[at].astype("<u2").tobytes(), b"".join([bodies[i] for i in at])))
+                rows.append((k, *map(pack, (t[at].tobytes(), docs[at].tobytes(), first[at].tobytes(), sizes[at].astype("<u2").tobytes(), b"".join([bodies[i] for i in at])))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)]], ["bucket", "t", "docs", "first", "sizes", "bodies"])
 
         held, n = [], 0
@@ -269,13 +323,15 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
             yield flush(held)
 
     def meet(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         ts, docs, firsts, shard, bodies = [], [], [], [], []
         for batch in batches:
             for row in zip(*batch.columns[1:], strict=True):
-                t, d, f, n, body = (v.as_buffer() for v in row)
+                t, d, f, n, body = (unpack(v.as_buffer()) for v in row)
                 sizes = np.frombuffer(n, "<u2").astype(np.int64)
                 ends = np.cumsum(sizes)
-                body = body.to_pybytes()
                 bodies += [body[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 ts.append(np.frombuffer(t, np.uint64))
                 docs.append(np.frombuffer(d, np.int64))
@@ -304,24 +360,53 @@ def resolve(t, docs, first, shard, bodies):
     out_doc.append(docs[lost])
     out_a.append(first[lost])
     out_b.append(first[lost] + lengths[kind[lost]] - SPAN)
-    # Strings that share an anchor with others: their windows are compared.
+    # Strings that share an anchor with others are cut to the windows that other holders have.
     one = np.full(len(strings), -1)
     one[kind[::-1]] = np.arange(len(kind))[::-1]
-    anchor = t[one]
-    _, inverse, many = np.unique(anchor, return_inverse=True, return_counts=True)
-    mixed_up = np.flatnonzero(many[inverse] > 1)
-    if len(mixed_up):
-        s, place = repeated([strings[i] for i in mixed_up], holder[mixed_up], shard[one[mixed_up]])
-        s = mixed_up[s]
-        # Holders of such strings lose the windows at every place where they have the string.
+    _, inverse, many = np.unique(t[one], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(many[inverse] > 1)
+    hit_string, hit_first, hit_last = [], [], []
+    if len(some):
+        lo, hi = shared_windows([strings[i] for i in some], holder[some])
+        some, lo, hi = some[hi >= 0], lo[hi >= 0], hi[hi >= 0]
+        # What is equal now is one string again, held by the smallest document.
+        number = {}
+        cut = np.fromiter((number.setdefault(strings[i][a : e + SPAN], len(number)) for i, a, e in zip(some.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.int64, len(some))
+        parts = list(number)
+        keeper = np.full(len(parts), np.iinfo(np.int64).max)
+        np.minimum.at(keeper, cut, holder[some])
+        gone = holder[some] > keeper[cut]
+        hit_string.append(some[gone])
+        hit_first.append(lo[gone])
+        hit_last.append(hi[gone])
+        # The rest share windows but neither begin nor end alike.
+        if parts:
+            left = np.flatnonzero(shared_windows(parts, keeper)[1] >= 0)
+            some, lo, cut = some[~gone], lo[~gone], cut[~gone]
+            if len(left):
+                source = np.zeros(len(parts), np.int64)
+                source[cut] = shard[one[some]]
+                p, place = repeated([parts[i] for i in left], keeper[left], source[left])
+                p = left[p]
+                # Every string cut to this part loses the windows.
+                order = np.argsort(cut, kind="stable")
+                a, b = np.searchsorted(cut[order], p), np.searchsorted(cut[order], p, side="right")
+                rep = np.repeat(np.arange(len(p)), b - a)
+                at = order[np.repeat(a, b - a) + np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
+                hit_string.append(some[at])
+                hit_first.append(lo[at] + place[rep])
+                hit_last.append(lo[at] + place[rep])
+    if hit_string:
+        s, lo, hi = (np.concatenate(x) for x in (hit_string, hit_first, hit_last))
+        # The holder of a string loses these windows wherever it has the string.
         own = np.flatnonzero(~lost)
         own = own[np.argsort(kind[own], kind="stable")]
         a, b = np.searchsorted(kind[own], s), np.searchsorted(kind[own], s, side="right")
         rep = np.repeat(np.arange(len(s)), b - a)
         at = own[np.repeat(a, b - a) + np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
         out_doc.append(docs[at])
-        out_a.append(first[at] + place[rep])
-        out_b.append(first[at] + place[rep])
+        out_a.append(first[at] + lo[rep])
+        out_b.append(first[at] + hi[rep])
     d, a, b = (np.concatenate(x) for x in (out_doc, out_a, out_b))
     order = np.argsort(d, kind="stable")
     d, a, b = d[order], a[order], b[order]
