@@ -26,11 +26,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, documents, small_batches
 from .edit_fingerprint import mixed
+from .suffix_dedup import squeezed
 
 WORDS, GROUPS = 5, 64
 _PLACES = mixed(np.arange(WORDS) + 77) | np.uint64(1)
@@ -149,23 +150,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def set_sizes(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set) of every row."""
-    small_batches(df.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
-
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+def packed_sets(df: DataFrame, buckets: int) -> DataFrame:
+    """One pass over the texts: rows (bucket, low, keys, docs), a row per batch of texts and bucket of keys.
 
-
-def shared_keys(df: DataFrame, buckets: int) -> DataFrame:
-    """(key, doc_id) of every key that more than one doc_id has.
-
-    Keys travel packed, a byte string for each batch of texts and bucket; equal sets of a batch
-    send one of them."""
+    Bucket -1 holds the batch's documents instead: their set sizes and digests under ``keys``.
+    Equal sets of a batch send the keys of one of them."""
     small_batches(df.sparkSession)
 
     def send(batches):
@@ -184,21 +173,44 @@ def shared_keys(df: DataFrame, buckets: int) -> DataFrame:
 
         held, seen, n = [], set(), 0
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if d is None:
-                    continue
+            ids, sizes, digests = b.column(0), [], []
+            for d, t in zip(ids.to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                if len(s) and digest not in seen:
-                    seen.add(digest)
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                if d is not None and len(s) and digests[-1] not in seen:
+                    seen.add(digests[-1])
                     held.append((d, block_keys(s)))
                     n += len(held[-1][1])
-                if n >= 1_000_000:
-                    yield flush(held)
-                    held, seen, n = [], set(), 0
+            known = np.array(ids.is_valid().to_pylist(), np.uint8)
+            docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + known.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([np.array(sizes, "<i8").tobytes() + b"".join(digests)], pa.binary()), pa.array([docs], pa.binary())], ["bucket", "low", "keys", "docs"])
+            if n >= 1_000_000:
+                yield flush(held)
+                held, seen, n = [], set(), 0
         if held:
             yield flush(held)
 
+    return df.select("doc_id", "text").mapInArrow(send, "bucket int, low long, keys binary, docs binary")
+
+
+def set_sizes(packed: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, digest of the set) of every row."""
+
+    def run(batches):
+        for b in batches:
+            for n, k, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                k, d = k.as_buffer().to_pybytes(), d.as_buffer().to_pybytes()
+                sizes = np.frombuffer(k, "<i8", n)
+                docs = pa.array(np.frombuffer(d, "<i8", n), pa.int64(), mask=np.frombuffer(d, np.uint8, n, 8 * n) == 0)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(sizes), pa.array([k[i : i + 16] for i in range(8 * n, 24 * n, 16)], pa.binary())], ["doc_id", "n_shingles", "digest"])
+
+    return packed.where("bucket < 0").select("low", "keys", "docs").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+
+
+def shared_keys(packed: DataFrame, buckets: int) -> DataFrame:
+    """(key, doc_id) of every key that more than one doc_id has."""
+
     def meet(batches):
         keys, docs = [], []
         for b in batches:
@@ -218,8 +230,7 @@ def shared_keys(df: DataFrame, buckets: int) -> DataFrame:
         for i in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(docs[i : i + 100_000])], ["key", "doc_id"])
 
-    sent = df.select("doc_id", "text").mapInArrow(send, "bucket int, low long, keys binary, docs binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "key long, doc_id long")
+    return packed.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(meet, "key long, doc_id long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,24 +299,29 @@ def similar_documents(df: DataFrame, scratch: Scratch | None = None, stars: int
     """(doc_id, n_shingles, component_id) of every row of ``df(doc_id, text)``."""
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    base = scratch.save(set_sizes(df), "sizes")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    packed = scratch.save(packed_sets(df, buckets), "packed")
+    base = scratch.save(set_sizes(packed), "sizes")
     same = base.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     base = base.join(same, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     base = scratch.save(base, "reps")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    shared = scratch.save(shared_keys(df, buckets), "shared")
+    shared = scratch.save(shared_keys(packed, buckets), "shared")
+    scratch.drop(packed)
     moved = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     groups = scratch.save(shared.join(moved, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct(), "groups")
     small_batches(spark)
 
     def whole(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            found = [shingles(t) for t in b.column(1).to_pylist()]
+            found = [shingles(unpack(z.as_buffer()).decode("utf-8", "surrogatepass")) for z in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([counts(s).tobytes() for s in found], pa.binary())], ["doc_id", "n", "members", "vector"])
 
     several = groups.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
     wanted = groups.join(several.select("key"), "key", "left_semi").select("doc_id").distinct()
-    sets = df.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, n long, members binary, vector binary")
+    sets = squeezed(df).join(wanted, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, n long, members binary, vector binary")
     sets = scratch.save(sets.dropDuplicates(["doc_id"]), "sets")
 
     links = None
@@ -321,7 +337,10 @@ def similar_documents(df: DataFrame, scratch: Scratch | None = None, stars: int
                 break
             pairs = tree_pairs(left, sets)
         else:
-            pairs = g.where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("lo"), F.greatest("doc_id", "c.doc_id").alias("hi"), F.col("c.doc_id").alias("mid")).groupBy("lo", "hi").agg(F.min("mid").alias("b"))
+            # Each member is held against the two middles it shares most keys with; the tree sees to the rest.
+            met = g.where("component <> c.component").groupBy(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            met = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r <= 2")
+            pairs = met.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).groupBy("lo", "hi").agg(F.min("b").alias("b"))
             pairs = pairs.select(F.when(F.col("lo") == F.col("b"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
         if tried is not None:
             pairs = pairs.join(tried.select(F.least("a", "b").alias("l2"), F.greatest("a", "b").alias("h2")), (F.least("a", "b") == F.col("l2")) & (F.greatest("a", "b") == F.col("h2")), "left_anti")
