@@ -293,13 +293,14 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
     def send(batches):
         import zstandard
 
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
 
         def flush(held):
             t, docs, first, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
             bodies = [s for h in held for s in h[4]]
             rows = []
             for k, at in _packed(docs, buckets, t):
+                at = at[np.lexsort((sizes[at], t[at]))]  # equal runs side by side, to compress well
                 rows.append((k, *map(pack, (t[at].tobytes(), docs[at].tobytes(), first[at].tobytes(), sizes[at].astype("<u2").tobytes(), b"".join([bodies[i] for i in at])))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)]], ["bucket", "t", "docs", "first", "sizes", "bodies"])
 
@@ -316,7 +317,7 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
                     bodies = [raw[a : e + SPAN] for a, e in zip(first.tolist(), last.tolist(), strict=True)]
                     held.append((t, np.full(len(t), d, np.int64), first, last - first + SPAN, bodies))
                     n += len(t)
-                if n >= 300_000:
+                if n >= 500_000:
                     yield flush(held)
                     held, n = [], 0
         if held:
