@@ -33,7 +33,7 @@ from .common import Scratch, components, documents, small_batches
 from .edit_fingerprint import mixed
 from .suffix_dedup import squeezed
 
-WORDS, GROUPS = 5, 64
+WORDS, GROUPS = 5, 512
 _PLACES = mixed(np.arange(WORDS) + 77) | np.uint64(1)
 
 
@@ -67,8 +67,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def counts(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """The count vector of a set."""
-    return np.bincount((mixed(h) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    """The count vector of a set (a group of 65,535 or more would need a set of millions)."""
+    return np.bincount((mixed(h) % np.uint64(groups)).astype(np.int64), minlength=groups).clip(max=65535).astype(np.uint16)
 
 
 def block_keys(h: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ class CountTree:
         high = p.max(0)
         if len(at) <= leaf:
             return (high, int(self.sizes[at].min()), at, None)
-        order = at[np.argsort(p[:, np.argmax(high - p.min(0))], kind="stable")]
+        order = at[np.argsort(p[:, np.argmax(high - p.min(0))], kind="stable")]  # unsigned, but high is never below
         half = len(at) // 2
         return (high, int(self.sizes[at].min()), at, (self._box(order[:half], leaf), self._box(order[half:], leaf)))
 
@@ -121,11 +121,11 @@ class CountTree:
         todo = [(self.root, other.root)]
         while todo:
             u, v = todo.pop()
-            if 9 * int(np.minimum(u[0], v[0]).sum()) < 4 * (u[1] + v[1]):
+            if 9 * int(np.minimum(u[0], v[0]).sum(dtype=np.int64)) < 4 * (u[1] + v[1]):
                 continue
             if u[3] is None and v[3] is None:
                 i, j = u[2], v[2]
-                both = np.minimum(self.points[i][:, None, :], other.points[j][None, :, :]).sum(2)
+                both = np.minimum(self.points[i][:, None, :], other.points[j][None, :, :]).sum(2, dtype=np.int64)
                 x, y = np.nonzero(9 * both >= 4 * (self.sizes[i][:, None] + other.sizes[j][None, :]))
                 yield i[x], j[y]
             elif v[3] is None or u[3] is not None and len(u[2]) >= len(v[2]):
@@ -266,7 +266,7 @@ def tree_pairs(groups: DataFrame, sets: DataFrame, chunk: int = 1024) -> DataFra
     def run(batches):
         def join(rows):
             docs, comp, sizes = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-            points = np.stack([np.frombuffer(r[7], np.int32) for r in rows])
+            points = np.stack([np.frombuffer(r[7], np.uint16) for r in rows])
             mine = np.array([r[3] for r in rows])
             p, q = rows[0][1], rows[0][2]
             i, j = (np.flatnonzero(mine == x) for x in (p, q))
@@ -332,7 +332,10 @@ def similar_documents(df: DataFrame, scratch: Scratch | None = None, stars: int
         centre = g.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("c")).where("x < y")
         g = g.join(centre.select("key", "c"), "key")
         if turn == stars:
-            left = scratch.save(g.select("key", "doc_id", "component"), "left")
+            # Keys with the same members say the same: one of them is enough.
+            alike = g.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("k"))
+            one = alike.groupBy("n", "h", "k").agg(F.min("key").alias("key")).select("key")
+            left = scratch.save(g.join(one, "key", "left_semi").select("key", "doc_id", "component"), "left")
             if left.isEmpty():
                 break
             pairs = tree_pairs(left, sets)
