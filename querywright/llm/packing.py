@@ -156,7 +156,8 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch | None = None) -> Da
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of at most ``capacity``."""
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark)
-    placed = ranked(pieces, scratch, ["length"], ["doc_id", "piece", "ids_crc32"])
+    # Saved first: range bounds are sampled from it, which would tokenise everything twice.
+    placed = ranked(scratch.save(pieces, "pieces"), scratch, ["length"], ["doc_id", "piece", "ids_crc32"])
     sizes = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     rows = places(pack_histogram(sizes, capacity))
     table = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "len long, lo long, many long, seq long, each long, at long")

@@ -127,7 +127,7 @@ def fit(df: DataFrame, sample: int = 20_000) -> tuple[LabelModel, np.ndarray, fl
                     values.append(v)
                     target.append(votes(s))
         p = model.posterior(np.array(target, np.int64).reshape(-1, len(LABELLERS)))
-        w, b = train_linear(rows, values, p, np.ones(len(p)), 1 << BITS)
+        w, b = train_linear(rows, values, p, np.ones(len(p)), 1 << BITS, rounds=400, shrink=1e-6)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], ["w", "b"])
 
     # One task fits on the bounded sample; only the weights come back.

@@ -104,39 +104,43 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int, drops_space: b
     """Encode ``df(doc_id, text)`` and write segments of about ``segment`` ids in ascending doc_id order."""
     spark = df.sparkSession
     small_batches(spark)
+    # Ranges of doc_id from quantiles of that column alone, so that no text is encoded twice.
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    steps = [k / parts for k in range(1, parts)]
+    bounds = np.unique(np.array(df.agg(F.percentile_approx("doc_id", steps, 100 * parts)).first()[0] or [], np.int64))
 
     def tokenise(batches):
         enc = encoder(path, drops_space)
         for b in batches:
+            part = np.searchsorted(bounds, b.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
             ids = [np.append(x, np.array([end_id], x.dtype)) for x in enc.encode(b.column(1).to_pylist())]
             wide = ids[0].dtype.itemsize if ids else 2
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([wide] * len(ids), pa.int32())], ["doc_id", "ids", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([wide] * len(ids), pa.int32()), pa.array(part)], ["doc_id", "ids", "wide", "part"])
 
     def segments(batches):
-        from pyspark import TaskContext
-
         docs: list = []
         ids: list[np.ndarray] = []
         held = number = 0
-        part = TaskContext.get().partitionId()
+        part = None
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([write_segment(docs, ids, width)], pa.binary())], ["part", "number", "tokens", "segment"])
 
         for b in batches:
-            for d, x, wide in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for d, x, wide, p in zip(*[b.column(k) if k == 1 else b.column(k).to_pylist() for k in range(4)], strict=True):
                 x = np.frombuffer(x.as_buffer(), f"<u{wide}")
-                if held and held + len(x) > segment:
+                if docs and (p != part or held + len(x) > segment):
                     yield flush()
                     docs, ids, held, number = [], [], 0, number + 1
+                part = p
                 docs.append(d)
                 ids.append(x)
                 held += len(x)
         if docs:
             yield flush()
 
-    tokens = df.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, wide int")
-    dealt = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    tokens = df.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, wide int, part int")
+    dealt = tokens.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     dealt.mapInArrow(segments, "part int, number int, tokens long, segment binary").write.option("compression", "uncompressed").parquet(out)
 
 

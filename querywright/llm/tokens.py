@@ -22,7 +22,7 @@ _PIECE = re.compile(r" ?[^ ]+")
 class ChunkEncoder:
     """``drops_space``: the tokenizer discards white space, so any ASCII white space is a cut."""
 
-    def __init__(self, path: str, drops_space: bool, most: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,14 +40,15 @@ class ChunkEncoder:
         """Ids of each text, without special tokens; null is an empty text."""
         cut = [self.chunks(t or "") for t in texts]
         new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*cut))
+        known = self.known
+        if len(known) + len(new) > self.most:
+            # Full: what is common came early and stays; these serve this batch alone.
+            known = {c: known[c] for c in set().union(*cut) & known.keys()}
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.dtype) for c in cut]
+                known[chunk] = np.array(e.ids, self.dtype).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)), self.dtype) for c in cut]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
