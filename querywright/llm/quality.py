@@ -112,7 +112,7 @@ def fit(df: DataFrame, sample: int = 20_000) -> tuple[LabelModel, np.ndarray, fl
     counts = np.array([r["n"] for r in counted], float)
     # One way to be bad for each labeller that says so, and good where none does.
     start = np.concatenate([patterns == 0, (patterns != 0).all(1)[:, None]], 1) + 1e-4
-    model = LabelModel().fit(patterns, counts, start / start.sum(1, keepdims=True))
+    model = LabelModel().fit(patterns, counts, start / start.sum(1, keepdims=True), false_alarms=0.005)
     share = min(1.0, sample / counts.sum())
     drawn = df.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
 

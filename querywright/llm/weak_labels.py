@@ -33,8 +33,9 @@ class LabelModel:
         """P(last class) of each pattern."""
         return self._shares(votes)[:, -1] if len(votes) else np.zeros(0)
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50, correlated: bool = False) -> LabelModel:
-        """``start``: a row of class probabilities for each pattern to begin with."""
+    def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50, correlated: bool = False, false_alarms: float = 1.0) -> LabelModel:
+        """``start``: a row of class probabilities for each pattern to begin with; ``false_alarms``: what share of
+        the last class a labeller may speak against at most."""
         k, c = votes.shape[1], start.shape[1]
         self.weight = np.ones(k)
         self.rate = np.zeros((c, k, 2))
@@ -46,6 +47,8 @@ class LabelModel:
                 for v in range(2):
                     self.rate[:, j, v] = share[:, votes[:, j] == v].sum(1) + self.smooth
             self.rate /= self.rate.sum(2, keepdims=True)
+            self.rate[-1, :, 0] = np.minimum(self.rate[-1, :, 0], false_alarms)
+            self.rate[-1, :, 1] = 1 - self.rate[-1, :, 0]
             if correlated:
                 self.weight = self._discount(votes, share)
             new = self._shares(votes)
