@@ -12,15 +12,16 @@ import zlib
 
 import numpy as np
 
-# A byte-level tokenizer that keeps spaces starts a new piece at a space between two marks; where
-# white space touches white space or an end, the slower cut is taken.
-_DOUBTFUL = re.compile(r"^\s|\s$|\s\s")
+# A byte-level tokenizer that keeps spaces starts a new piece at a space between two marks.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_PIECE = re.compile(r" ?[^ ]+")
 
 
 class ChunkEncoder:
-    """``drops_space``: the tokenizer discards white space, so any ASCII white space is a cut."""
+    """``drops_space``: the tokenizer discards white space, so any ASCII white space is a cut.
+
+    Otherwise a key that starts with a space stands for what follows that space, and any other key
+    for itself after a space; one that has white space at an end is known as None, its text being cut
+    with care."""
 
     def __init__(self, path: str, drops_space: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,26 +30,93 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space, self.most = drops_space, most
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
+        self.known: dict[str, bytes | None] = {}
+        # A mark that is always a piece, and one id, of its own between two chunks.
+        self.mark = "\x01" if drops_space else "\x0b"
+        self.between = f" {self.mark} " if drops_space else self.mark
+        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def keys(self, text: str) -> list[str]:
         if self.drops_space:
             return re.split(r"[ \t\n\r]+", text) if "\x0b" in text or "\x0c" in text else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return (_CUT.split(text) if _DOUBTFUL.search(text) else _PIECE.findall(text)) if text else []
+        keys = text.split(" ")
+        if len(keys) > 1 and keys[0][-1:].isspace():
+            return self.careful(text)
+        keys[0] = " " + keys[0]
+        return keys if keys[0] != " " else self.careful(text)
+
+    @staticmethod
+    def careful(text: str) -> list[str]:
+        return [" " + c for c in _CUT.split(text)] if text else []
+
+    def literal(self, key: str) -> str:
+        return key if self.drops_space else key[1:] if key[0] == " " else " " + key
+
+    def _plain(self, key: str) -> bool:
+        """Whether a mark on either side of the key's literal leaves its ids as they are."""
+        if not key or self.mark in key or any(s in key for s in self.specials):
+            return False
+        text = key if self.drops_space or key[0] != " " else key[1:]
+        return bool(text) and not text[0].isspace() and not text[-1].isspace()
+
+    def fresh(self, new: list[str]) -> dict[str, bytes | None]:
+        """The ids of keys not known: many as one text with marks between them, the odd ones alone."""
+        found: dict[str, bytes | None] = {}
+        plain, odd = [], []
+        for key in new:
+            if self.mark_id is not None and self._plain(key):
+                plain.append(key)
+            elif self.drops_space or key and (key[0] == " " or not (key[0].isspace() or key[-1].isspace())):
+                odd.append(key)
+            else:
+                found[key] = None
+        size = self.dtype.itemsize
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(map(self.literal, part))], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(part) - 1:
+                odd += part
+                continue
+            raw = ids.tobytes()
+            starts = [0, *((at + 1) * size).tolist()]
+            ends = [*(at * size).tolist(), len(raw)]
+            found.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        for i in range(0, len(odd), 10_000):
+            part = odd[i : i + 10_000]
+            for key, e in zip(part, self.tokenizer.encode_batch_fast([self.literal(k) for k in part], add_special_tokens=False), strict=True):
+                found[key] = np.array(e.ids, self.dtype).tobytes()
+        return found
+
+    def _lookup(self, cut: list[list[str]]) -> dict[str, bytes | None]:
+        seen = set().union(*cut)
+        new = self.fresh(list(seen - self.known.keys()))
+        if len(self.known) + len(new) <= self.most:
+            self.known.update(new)
+            return self.known
+        # Full: what is common came early and stays; the new ones serve this batch alone.
+        known = self.known
+        return {k: known[k] for k in seen & known.keys()} | new
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without special tokens; null is an empty text."""
-        cut = [self.chunks(t or "") for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        known = self.known
-        if len(known) + len(new) > self.most:
-            # Full: what is common came early and stays; these serve this batch alone.
-            known = {c: known[c] for c in set().union(*cut) & known.keys()}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, self.dtype).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, c)), self.dtype) for c in cut]
+        cut = [self.keys(t) if t else [] for t in texts]
+        known = self._lookup(cut)
+        out, again = [], []
+        for i, keys in enumerate(cut):
+            try:
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, keys)), self.dtype))
+            except TypeError:
+                out.append(None)
+                again.append(i)
+        if again:
+            careful = [self.careful(texts[i]) for i in again]
+            known = self._lookup(careful)
+            for i, keys in zip(again, careful, strict=True):
+                out[i] = np.frombuffer(b"".join(map(known.__getitem__, keys)), self.dtype)
+        return out
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
