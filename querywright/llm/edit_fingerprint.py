@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, small_batches
 
 PERIOD, SAMPLES, AHEAD = 4096, 96, 8
+#: Characters of a sample in a band of ``near_texts``; groups of its count vectors.
+NEAR, GROUPS = 6, 256
 #: Characters that walk together; bounds a worker's memory.
 TOGETHER = 6_000_000
 
@@ -103,7 +105,8 @@ def fingerprints(texts: list[str]) -> list[str]:
     return done
 
 
-def _some(texts: list[str]) -> list[str]:
+def _spots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """All characters, where each sample stands in them (-1 after the walk's end), where each text ends, and scales."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     lengths = np.array([len(c) for c in codes], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -114,16 +117,39 @@ def _some(texts: list[str]) -> list[str]:
     for k, (o, n, e, s) in enumerate(zip(offsets, lengths, ends, scales, strict=True)):
         when = np.concatenate([times(s), times(s + 1)])
         spots[k] = np.where(when < e, o + np.searchsorted(came[o : o + n], when, side="right") - 1, -1)
-    last = (offsets + lengths)[:, None]
+    return flat, spots, offsets + lengths, scales
+
+
+def _ahead(flat: np.ndarray, spots: np.ndarray, last: np.ndarray, ahead: int) -> np.ndarray:
+    """Hash of the characters ahead of each spot, up to the end of its text."""
     h = np.zeros(spots.shape, np.uint64)
-    for j in range(AHEAD):
+    for j in range(ahead):
         where = spots + j
-        ok = (spots >= 0) & (where < last)
+        ok = (spots >= 0) & (where < last[:, None])
         h = mixed(h ^ np.where(ok, flat[np.where(ok, where, 0)] + np.uint32(1), 0).astype(np.uint64)) if len(flat) else h
-    sample = np.where(spots >= 0, h % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+    return h
+
+
+def _some(texts: list[str]) -> list[str]:
+    flat, spots, last, scales = _spots(texts)
+    sample = np.where(spots >= 0, _ahead(flat, spots, last, AHEAD) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
     return [f"{s:02x}{row.tobytes().hex()}" for s, row in zip(scales, sample, strict=True)]
 
 
+def bands(texts: list[str], width: int) -> list[np.ndarray]:
+    """Band keys of each text: ``width`` adjacent samples of a scale, each of NEAR characters, all under way."""
+    flat, spots, last, scales = _spots(texts)
+    n = SAMPLES // width
+    cut = lambda x: x.reshape(len(texts), 2, SAMPLES)[:, :, : n * width].reshape(len(texts), 2, n, width)
+    h, ok = cut(_ahead(flat, spots, last, NEAR)), cut(spots >= 0).all(3)
+    key = np.zeros(ok.shape, np.uint64)
+    for k in range(width):
+        key = mixed(key ^ h[..., k])
+    at = np.arange(n) + 1000 * (np.array(scales, np.int64).reshape(-1, 1, 1) + np.arange(2)[:, None])
+    key = mixed(key ^ mixed(at)).view(np.int64)
+    return [np.unique(k[o]) for k, o in zip(key, ok, strict=True)]
+
+
 def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -224,8 +250,8 @@ def neighbour_fingerprints(df: DataFrame, scratch: Scratch | None = None) -> Dat
     return saved.where("edge = -1").select(*names).union(ends.mapInArrow(between, _ROW))
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance, a column of the table at a time in one integer's bits."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, a column of the table at a time in one integer's bits; above ``most`` only that it is above."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -235,52 +261,130 @@ def distance(a: str, b: str) -> int:
         rows[c] = rows.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, d = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         same = rows.get(c, 0)
         diag = (((same & up) + up) ^ up) | same | down
         rise, fall = down | ~(diag | up) & full, up & diag
         d += 1 if rise & top else -1 if fall & top else 0
+        if most is not None and d - left > most:
+            return most + 1
         rise = (rise << 1 | 1) & full
         fall = fall << 1 & full
         up, down = fall | ~(diag | rise) & full, rise & diag
     return d
 
 
-def near_texts(df: DataFrame, least: float = 0.8, width: int = 4) -> DataFrame:
-    """Pairs (a, b, similarity) of doc_ids of different texts, 1 - distance / longer length >= least.
+def similarity(a: str, b: str, least: float) -> float | None:
+    """1 - distance / longer length if that is ``least`` or more."""
+    n = max(1, len(a), len(b))
+    s = 1 - distance(a, b, int((1 - least) * n) + 1) / n
+    return s if s >= least else None
 
-    Bit-sampled banding: ``width`` adjacent samples of a scale form a band; in each band a text is
-    held against the first text of the band and the one before it, never against all, and each
-    candidate is verified by edit distance on the whole texts.  Equal texts stand for the
-    smallest doc_id among them (see ``fingerprint`` for membership)."""
-    small_batches(df.sparkSession)
+
+def gram_counts(text: str) -> np.ndarray:
+    """Counts of the characters, then of the pairs of adjacent characters, by hash group."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    both = [mixed(x), mixed(mixed(x[:-1]) ^ x[1:])]
+    return np.concatenate([np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for h in both]).astype(np.int32)
+
+
+def near_in_blocks(one: list[str], two: list[str] | None, least: float):
+    """(i, j, similarity) of all near texts of two blocks, or within one.
+
+    d edits spoil at most d characters and 2 d pairs of characters, so sums of minima bound them from below."""
+    other = one if two is None else two
+    v, w = (np.array([gram_counts(t) for t in x]).reshape(-1, 2 * GROUPS) for x in (one, other))
+    sizes = np.array([len(t) for t in other], np.int64)
+    for i, t in enumerate(one):
+        first = i + 1 if two is None else 0
+        n = np.maximum(sizes[first:], len(t))
+        most = ((1 - least) * n).astype(np.int64) + 1
+        low = np.minimum(v[i], w[first:])
+        ok = (n - np.minimum(sizes[first:], len(t)) <= most) & (low[:, :GROUPS].sum(1) >= n - most) & (low[:, GROUPS:].sum(1) >= n - 1 - 2 * most)
+        for j in np.flatnonzero(ok) + first:
+            if (s := similarity(t, other[j], least)) is not None:
+                yield i, int(j), s
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+
+def _near_batch(rows: list[tuple]) -> pa.RecordBatch:
+    rows = [(min(a, b), max(a, b), s) for a, b, s in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PAIR)], schema=_PAIR)
+
+
+def all_near(texts: DataFrame, least: float, chunk: int) -> DataFrame:
+    """Near pairs of ``texts(doc_id, text, key)``, each text held against all whose length allows it.
+
+    Lengths fall into classes of powers of two, classes into blocks of about ``chunk`` texts; each task
+    has two blocks."""
+    reach = 0
+    while 0 < least and least * 2**reach < 1:
+        reach += 1
+    size = F.length(F.bin(F.length("text"))) if least > 0 else F.lit(0)
+    sized = texts.withColumn("size", size)
+    parts = sized.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    dealt = sized.join(parts, "size").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    every = parts.select("size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    x, y = every.select(F.col("size").alias("s"), F.col("block").alias("p")), every.select(F.col("size").alias("t"), F.col("block").alias("q"))
+    meet = x.join(y, (F.col("t") >= F.col("s")) & (F.col("t") <= F.col("s") + reach) & ((F.col("t") > F.col("s")) | (F.col("q") >= F.col("p"))))
+    where = [F.col(c) for c in ("s", "p", "t", "q")]
+    first = dealt.join(meet, (F.col("size") == F.col("s")) & (F.col("block") == F.col("p"))).select(*where, F.lit(0).alias("side"), "doc_id", "text")
+    second = dealt.join(meet.where("s <> t OR p <> q"), (F.col("size") == F.col("t")) & (F.col("block") == F.col("q"))).select(*where, F.lit(1).alias("side"), "doc_id", "text")
+
+    def hold(table: pa.Table) -> pa.Table:
+        side, docs, bodies = (table.column(c).to_pylist() for c in ("side", "doc_id", "text"))
+        i, j = ([k for k, x in enumerate(side) if x == want] for want in (0, 1))
+        same = table.column("s")[0] == table.column("t")[0] and table.column("p")[0] == table.column("q")[0]
+        found = near_in_blocks([bodies[k] for k in i], None if same else [bodies[k] for k in j], least)
+        j = i if same else j
+        return pa.Table.from_batches([_near_batch([(docs[i[a]], docs[j[b]], s) for a, b, s in found])])
+
+    return first.union(second).groupBy("s", "p", "t", "q").applyInArrow(hold, "a long, b long, similarity double")
+
+
+def banded_near(texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Near pairs of ``texts(doc_id, text, key)`` among texts that share a band; in each band a text is
+    held against the first text of the band and the one before it."""
 
     def mark(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            docs, keys = [], []
-            for d, f in zip(b.column(0).to_pylist(), fingerprints(texts), strict=True):
-                s = int(f[:2], 16)
-                for k in range(2 * SAMPLES // width):
-                    band = f[2 + 2 * width * k : 2 + 2 * width * (k + 1)]
-                    if "00" not in (band[i : i + 2] for i in range(0, len(band), 2)):
-                        docs.append(d)
-                        keys.append(f"{s + k * width // SAMPLES}:{k % (SAMPLES // width)}:{band}")
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.string())], ["doc_id", "band"])
+            found = bands(b.column(1).to_pylist(), width)
+            keys = pa.array([k for k, f in zip(b.column(0).to_pylist(), found, strict=True) for _ in range(len(f))], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found) if found else [], pa.int64())], ["key", "band"])
 
     def verify(batches):
         for b in batches:
-            out = [(r["a"], r["b"], 1 - distance(r["ta"], r["tb"]) / max(1, len(r["ta"]), len(r["tb"]))) for r in b.to_pylist()]
-            out = [x for x in out if x[2] >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+            rows = ((r["a"], r["b"], similarity(r["ta"], r["tb"], least)) for r in b.to_pylist())
+            yield _near_batch([r for r in rows if r[2] is not None])
 
-    texts = df.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
-    bands = texts.mapInArrow(mark, "doc_id long, band string")
+    marked = texts.select("key", "text").mapInArrow(mark, "key binary, band long")
     w = Window.partitionBy("band")
-    near = bands.select("doc_id", F.array(F.min("doc_id").over(w), F.lag("doc_id").over(w.orderBy("doc_id"))).alias("others"))
-    near = near.select("doc_id", F.explode("others").alias("other")).where("other < doc_id").distinct()
-    pairs = near.join(texts.select(F.col("doc_id"), F.col("text").alias("tb")), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("ta")), "other")
-    return pairs.select(F.col("other").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
+    near = marked.select("key", F.array(F.min("key").over(w), F.lag("key").over(w.orderBy("key"))).alias("others"))
+    near = near.select("key", F.explode("others").alias("other")).where("other < key").distinct()
+    pairs = near.join(texts.select("key", F.col("doc_id").alias("b"), F.col("text").alias("tb")), "key")
+    pairs = pairs.join(texts.select(F.col("key").alias("other"), F.col("doc_id").alias("a"), F.col("text").alias("ta")), "other")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
+
+
+def near_texts(df: DataFrame, least: float = 0.8, width: int = 1, exact: bool = True, chunk: int = 256) -> DataFrame:
+    """Pairs (a, b, similarity) of doc_ids of different texts, 1 - distance / longer length >= least.
+
+    All such pairs: each text is held against all whose length allows it, and what counts of characters
+    and of their pairs do not rule out is verified by edit distance on the whole texts.  The
+    work grows with the square of the texts of like length.
+
+    With ``exact`` false only texts that share a band are verified: ``width`` adjacent samples of the
+    walk, NEAR characters each (bit-sampled banding).  Pairs are lost where the walks do not fall into
+    step again; README gives the measured recall.
+
+    Equal texts stand for the smallest doc_id among them.  Null texts are empty; rows with a null doc_id
+    are left out.  Where one doc_id has two near texts, a = b."""
+    small_batches(df.sparkSession)
+    texts = df.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("key"))
+    return all_near(texts, least, chunk) if exact else banded_near(texts, least, width)
 
 
 def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

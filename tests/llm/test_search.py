@@ -78,6 +78,58 @@ def test_near_texts(spark):
     assert {(1, 2)} <= got <= {(1, 2), (1, 6), (2, 6)} and len(got) >= 2
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def scattered(rng, n, share, letters="abcdefghijklmnopqrstuvwxyz"):
+    """A random text and a copy with so many letters exchanged."""
+    a = rng.choice(list(letters), n)
+    b = a.copy()
+    b[rng.choice(n, int(n * share), replace=False)] = rng.choice(list(letters), int(n * share))
+    return "".join(a), "".join(b)
+
+
+def brute_near(rows, least):
+    """Pairs of the first doc_ids of different texts, by the plain table of edit distances."""
+    first = {}
+    for d, t in rows:
+        first[t or ""] = min(d, first.get(t or "", d))
+    items = sorted(first.items(), key=lambda x: x[1])
+    out = {}
+    for i, (t, a) in enumerate(items):
+        for u, b in items[i + 1 :]:
+            n = max(len(t), len(u), 1)
+            if abs(len(t) - len(u)) <= (1 - least) * n + 1 and (s := 1 - plain_distance(t, u) / n) >= least:
+                out[a, b] = s
+    return out
+
+
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_near_texts_with_scattered_edits(spark, chunk):
+    """All pairs down to the threshold, 10 to 20 % of the letters being exchanged."""
+    rng = np.random.default_rng(8)
+    texts = [t for n in (8, 40, 130, 200) for share in (0.1, 0.15, 0.2) for t in scattered(rng, n, share)]
+    rows = list(enumerate([*texts, "", None, "a", "ab", "abcde", "abcdx", texts[0], texts[6][:90] + texts[6][110:]]))
+    got = {(r["a"], r["b"]): r["similarity"] for r in ef.near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk=chunk).collect()}
+    want = brute_near(rows, 0.8)
+    assert got == want and len(want) >= 10
+
+
+def test_band_recall():
+    """Share of pairs with a band in common, near the threshold (README gives the figures)."""
+    rng = np.random.default_rng(9)
+    for share, least in ((0.05, 0.9), (0.1, 0.8), (0.19, 0.6)):
+        pairs = [scattered(rng, 300, share) for _ in range(60)]
+        a, b = (ef.bands([p[k] for p in pairs], 1) for k in (0, 1))
+        assert np.mean([np.intersect1d(x, y).size > 0 for x, y in zip(a, b, strict=True)]) >= least
+
+
 def brute(rows, every, k):
     ids = np.array([r[0] for r in rows])
     x = np.array([r[1] for r in rows], np.float64)
