@@ -344,9 +344,10 @@ def all_near(texts: DataFrame, least: float, chunk: int) -> DataFrame:
     return first.union(second).groupBy("s", "p", "t", "q").applyInArrow(hold, "a long, b long, similarity double")
 
 
-def banded_near(texts: DataFrame, least: float, width: int) -> DataFrame:
-    """Near pairs of ``texts(doc_id, text, key)`` among texts that share a band; in each band a text is
-    held against the first text of the band and the one before it."""
+def banded_near(texts: DataFrame, least: float, width: int, chunk: int) -> DataFrame:
+    """Near pairs of ``texts(doc_id, text, key)`` among all texts that share a band.
+
+    A band of more than ``chunk`` texts is dealt in parts, each held against the whole band."""
 
     def mark(batches):
         for b in batches:
@@ -360,14 +361,22 @@ def banded_near(texts: DataFrame, least: float, width: int) -> DataFrame:
             yield _near_batch([r for r in rows if r[2] is not None])
 
     marked = texts.select("key", "text").mapInArrow(mark, "key binary, band long")
-    w = Window.partitionBy("band")
-    near = marked.select("key", F.array(F.min("key").over(w), F.lag("key").over(w.orderBy("key"))).alias("others"))
-    near = near.select("key", F.explode("others").alias("other")).where("other < key").distinct()
+    parts = marked.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    shared = marked.join(parts, "band")
+    left = shared.select("band", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("other"))
+    right = shared.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key")
+    near = left.join(right, ["band", "part"]).where("other < key").select("key", "other").distinct()
     pairs = near.join(texts.select("key", F.col("doc_id").alias("b"), F.col("text").alias("tb")), "key")
     pairs = pairs.join(texts.select(F.col("key").alias("other"), F.col("doc_id").alias("a"), F.col("text").alias("ta")), "other")
     return pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
 
 
+def same_texts(df: DataFrame) -> DataFrame:
+    """(doc_id, first) of each row with a doc_id: the smallest doc_id with the same text."""
+    rows = df.where("doc_id IS NOT NULL").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "key").select("doc_id", "first")
+
+
 def near_texts(df: DataFrame, least: float = 0.8, width: int = 1, exact: bool = True, chunk: int = 256) -> DataFrame:
     """Pairs (a, b, similarity) of doc_ids of different texts, 1 - distance / longer length >= least.
 
@@ -379,12 +388,12 @@ def near_texts(df: DataFrame, least: float = 0.8, width: int = 1, exact: bool =
     walk, NEAR characters each (bit-sampled banding).  Pairs are lost where the walks do not fall into
     step again; README gives the measured recall.
 
-    Equal texts stand for the smallest doc_id among them.  Null texts are empty; rows with a null doc_id
-    are left out.  Where one doc_id has two near texts, a = b."""
+    Equal texts stand for the smallest doc_id among them (see ``same_texts`` for membership).  Null texts
+    are empty; rows with a null doc_id are left out.  Where one doc_id has two near texts, a = b."""
     small_batches(df.sparkSession)
     texts = df.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("key"))
-    return all_near(texts, least, chunk) if exact else banded_near(texts, least, width)
+    return all_near(texts, least, chunk) if exact else banded_near(texts, least, width, chunk)
 
 
 def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

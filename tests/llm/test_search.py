@@ -130,6 +130,21 @@ def test_band_recall():
         assert np.mean([np.intersect1d(x, y).size > 0 for x, y in zip(a, b, strict=True)]) >= least
 
 
+@pytest.mark.parametrize("exact,chunk", [(True, 256), (False, 256), (False, 3)])
+def test_near_texts_of_a_hot_band(spark, exact, chunk):
+    """Twelve texts open alike, so share bands; all near pairs of each half are found, and copies are members."""
+    rng = np.random.default_rng(6)
+    opening = scattered(rng, 60, 0)[0]
+    one, two = (opening + scattered(rng, 120, 0)[0] for _ in range(2))
+    texts = [t[: 70 + 7 * k] + "#" + t[71 + 7 * k :] for k in range(6) for t in (one, two)]
+    rows = [*enumerate([*texts, texts[3], None, "", texts[3]]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["a"], r["b"]): r["similarity"] for r in ef.near_texts(df, exact=exact, chunk=chunk).collect()}
+    assert got == brute_near(rows[:-1], 0.8) and len(got) == 30
+    same = {r["doc_id"]: r["first"] for r in ef.same_texts(df).collect()}
+    assert same == {**{d: d for d in range(12)}, 12: 3, 13: 13, 14: 13, 15: 3}
+
+
 def brute(rows, every, k):
     ids = np.array([r[0] for r in rows])
     x = np.array([r[1] for r in rows], np.float64)
