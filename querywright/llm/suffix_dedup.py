@@ -18,7 +18,7 @@ windows with one anchor are sent as their bytes, to where the anchor's others ar
   No suffix is sorted again.
 
 Matches never cross documents.  Null texts are empty.  Rows that repeat a doc_id do not remove
-each other's bytes.  Rows with a null doc_id remove nothing and lose nothing.  Texts go whole through
+each other's bytes; each loses what smaller doc_ids hold of its own text.  Rows with a null doc_id remove nothing and lose nothing.  Texts go whole through
 every step.
 """
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -284,11 +285,20 @@ def squeezed(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
 
 
+def text_key(raw: bytes) -> int:
+    """Tells texts of one doc_id apart; never 0."""
+    return xxhash.xxh3_64_intdigest(raw) >> 1 or 1
+
+
 def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, runs): first and last window, as packed 8-byte numbers, of runs of windows to remove."""
+    """(doc_id, text_key, runs): first and last window, as packed 8-byte numbers, of runs of windows to remove.
+
+    The key is 0 where a doc_id has one row only."""
     spark = df.sparkSession
     buckets = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = shared_anchors(df, buckets).groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    repeats = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("several"))
+    shared = shared.join(repeats, "doc_id", "left")
 
     def send(batches):
         import zstandard
@@ -296,17 +306,17 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
 
         def flush(held):
-            t, docs, first, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
-            bodies = [s for h in held for s in h[4]]
+            t, docs, keys, first, sizes = (np.concatenate([h[k] for h in held]) for k in range(5))
+            bodies = [s for h in held for s in h[5]]
             rows = []
             for k, at in _packed(docs, buckets, t):
                 at = at[np.lexsort((sizes[at], t[at]))]  # equal runs side by side, to compress well
-                rows.append((k, *map(pack, (t[at].tobytes(), docs[at].tobytes(), first[at].tobytes(), sizes[at].astype("<u2").tobytes(), b"".join([bodies[i] for i in at])))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)]], ["bucket", "t", "docs", "first", "sizes", "bodies"])
+                rows.append((k, *map(pack, (t[at].tobytes(), docs[at].tobytes(), keys[at].tobytes(), first[at].tobytes(), sizes[at].astype("<u2").tobytes(), b"".join([bodies[i] for i in at])))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7)]], ["bucket", "t", "docs", "keys", "first", "sizes", "bodies"])
 
         held, n = [], 0
         for b in batches:
-            for d, z, lists in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for d, z, lists, several in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 raw = unpack(z.as_buffer())
                 x = np.frombuffer(raw, np.uint8)
                 h, first, last = anchors(x)
@@ -315,7 +325,7 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
                 if hit.any():
                     t, first, last = t[hit], first[hit], last[hit]
                     bodies = [raw[a : e + SPAN] for a, e in zip(first.tolist(), last.tolist(), strict=True)]
-                    held.append((t, np.full(len(t), d, np.int64), first, last - first + SPAN, bodies))
+                    held.append((t, np.full(len(t), d, np.int64), np.full(len(t), text_key(raw) if several else 0, np.int64), first, last - first + SPAN, bodies))
                     n += len(t)
                 if n >= 500_000:
                     yield flush(held)
@@ -327,28 +337,29 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        ts, docs, firsts, shard, bodies = [], [], [], [], []
+        ts, docs, keys, firsts, shard, bodies = [], [], [], [], [], []
         for batch in batches:
             for row in zip(*batch.columns[1:], strict=True):
-                t, d, f, n, body = (unpack(v.as_buffer()) for v in row)
+                t, d, key, f, n, body = (unpack(v.as_buffer()) for v in row)
                 sizes = np.frombuffer(n, "<u2").astype(np.int64)
                 ends = np.cumsum(sizes)
                 bodies += [body[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 ts.append(np.frombuffer(t, np.uint64))
                 docs.append(np.frombuffer(d, np.int64))
+                keys.append(np.frombuffer(key, np.int64))
                 firsts.append(np.frombuffer(f, np.int64))
                 shard.append(np.full(len(sizes), len(shard)))
         if ts:
-            yield from resolve(*(np.concatenate(x) for x in (ts, docs, firsts, shard)), bodies)
+            yield from resolve(*(np.concatenate(x) for x in (ts, docs, keys, firsts, shard)), bodies)
 
     texts = squeezed(df.where("doc_id is not null")).join(shared, "doc_id")
-    sent = texts.mapInArrow(send, "bucket int, t binary, docs binary, first binary, sizes binary, bodies binary")
-    runs = sent.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, runs binary")
+    sent = texts.mapInArrow(send, "bucket int, t binary, docs binary, keys binary, first binary, sizes binary, bodies binary")
+    runs = sent.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, text_key long, runs binary")
     return scratch.save(runs, "runs")
 
 
-def resolve(t, docs, first, shard, bodies):
-    """Batches (doc_id, runs) of windows that stand in smaller documents, among runs of known anchors."""
+def resolve(t, docs, keys, first, shard, bodies):
+    """Batches (doc_id, text_key, runs) of windows that stand in smaller documents, among runs of known anchors."""
     # Equal runs are one string, held by its smallest document.
     number: dict[bytes, int] = {}
     kind = np.fromiter((number.setdefault(b, len(number)) for b in bodies), np.int64, len(bodies))
@@ -356,9 +367,10 @@ def resolve(t, docs, first, shard, bodies):
     holder = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(holder, kind, docs)
     lengths = np.array([len(s) for s in strings], np.int64)
-    out_doc, out_a, out_b = [], [], []
+    out_doc, out_key, out_a, out_b = [], [], [], []
     lost = docs > holder[kind]
     out_doc.append(docs[lost])
+    out_key.append(keys[lost])
     out_a.append(first[lost])
     out_b.append(first[lost] + lengths[kind[lost]] - SPAN)
     # Strings that share an anchor with others are cut to the windows that other holders have.
@@ -406,16 +418,17 @@ def resolve(t, docs, first, shard, bodies):
         rep = np.repeat(np.arange(len(s)), b - a)
         at = own[np.repeat(a, b - a) + np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
         out_doc.append(docs[at])
+        out_key.append(keys[at])
         out_a.append(first[at] + lo[rep])
         out_b.append(first[at] + hi[rep])
-    d, a, b = (np.concatenate(x) for x in (out_doc, out_a, out_b))
-    order = np.argsort(d, kind="stable")
-    d, a, b = d[order], a[order], b[order]
-    cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+    d, key, a, b = (np.concatenate(x) for x in (out_doc, out_key, out_a, out_b))
+    order = np.lexsort((key, d))
+    d, key, a, b = d[order], key[order], a[order], b[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (key[1:] != key[:-1])])) if len(d) else np.zeros(0, np.int64)
     ends = np.concatenate([cuts[1:], [len(d)]])
     for i in range(0, len(cuts), 10_000):
         part = list(zip(cuts[i : i + 10_000], ends[i : i + 10_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(d[cuts[i : i + 10_000]]), pa.array([np.stack([a[x:y], b[x:y]], 1).tobytes() for x, y in part], pa.binary())], ["doc_id", "runs"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[cuts[i : i + 10_000]]), pa.array(key[cuts[i : i + 10_000]]), pa.array([np.stack([a[x:y], b[x:y]], 1).tobytes() for x, y in part], pa.binary())], ["doc_id", "text_key", "runs"])
 
 
 def kept_bytes(raw: bytes, lists: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -430,11 +443,19 @@ def kept_bytes(raw: bytes, lists: list[bytes] | None) -> tuple[bytes, int, int]:
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
 
 
+def own_runs(raw: bytes, keys: list[int] | None, lists: list[bytes] | None) -> list[bytes] | None:
+    """Of the runs of a doc_id, those of this text."""
+    if not keys or not any(keys):
+        return lists
+    own = text_key(raw)
+    return [x for k, x in zip(keys, lists, strict=True) if k == own]
+
+
 def remove_repeats(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is what remains, as bytes."""
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    runs = removals(df, scratch).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    runs = removals(df, scratch).groupBy("doc_id").agg(F.collect_list("text_key").alias("keys"), F.collect_list("runs").alias("runs"))
 
     def apply(batches):
         import zstandard
@@ -442,10 +463,10 @@ def remove_repeats(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             raw = [unpack(z.as_buffer()) for z in b.column(1)]
-            done = [kept_bytes(r, x) for r, x in zip(raw, b.column(2).to_pylist(), strict=True)]
+            done = [kept_bytes(r, own_runs(r, k, x)) for r, k, x in zip(raw, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[0] for x in done], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return squeezed(df).join(runs, "doc_id", "left").select("doc_id", "z", "runs").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return squeezed(df).join(runs, "doc_id", "left").select("doc_id", "z", "keys", "runs").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

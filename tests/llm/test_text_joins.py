@@ -160,6 +160,22 @@ def test_removal_of_overlaps(spark, seed):
     assert removal(df) == brute_removal(rows)
 
 
+def test_removal_with_repeated_ids(spark):
+    """Texts of one doc_id lose what smaller doc_ids hold of each, whatever the other's length."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    p, q = text(120), text(90)
+    rows = [(1, p), (1, q), (2, text(400) + p), (2, q + text(20)), (2, "short"), (2, text(60) + q[:70]), (3, p), (3, p), (3, text(500)), (4, text(30) + p + q)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(df).collect())
+    want = []
+    for d, t in rows:
+        seen = {u[i : i + 50] for e, u in rows if e < d for i in range(len(u) - 49)}
+        gone = {i + k for i in range(len(t) - 49) if t[i : i + 50] in seen for k in range(50)}
+        want.append((d, len(t), len(gone), sum(i - 1 not in gone for i in gone), "".join(c for i, c in enumerate(t) if i not in gone)))
+    assert got == sorted(want) and sum(x[2] for x in want) > 600
+
+
 def test_merge_is_the_order_of_all_suffixes():
     rng = random.Random(3)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 80))).encode() for _ in range(24)]
