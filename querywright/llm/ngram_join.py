@@ -18,7 +18,8 @@ in one component.
 
 Sets are kept as 64-bit hashes of shingles.  Equal sets stand for their smallest doc_id.  Words are
 split at ASCII white space after lower-casing A-Z.  Null and empty texts have no set and no link; they and
-rows with a null doc_id keep their own doc_id as component.  Rows that repeat a doc_id are one node.
+rows with a null doc_id keep their own doc_id as component.  Rows that repeat a doc_id are one node with
+the links of all their sets: they are numbered, joined by number, and tied together afterwards.
 """
 
 from __future__ import annotations
@@ -297,8 +298,24 @@ def tree_pairs(groups: DataFrame, sets: DataFrame, chunk: int = 1024) -> DataFra
 
 def similar_documents(df: DataFrame, scratch: Scratch | None = None, stars: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``df(doc_id, text)``."""
+    scratch = scratch or Scratch(df.sparkSession)
+    if df.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return joined(df, scratch, stars)
+    # Saved, since numbers must not change between reads.
+    rows = scratch.save(df.select("doc_id", "text").withColumn("number", F.expr("IF(doc_id IS NULL, NULL, monotonically_increasing_id())")), "rows")
+    found = scratch.save(joined(rows.select(F.col("number").alias("doc_id"), "text"), scratch, stars), "found").withColumnRenamed("doc_id", "number")
+    known = found.join(rows.select("number", "doc_id"), "number").select("doc_id", "n_shingles", F.col("component_id").alias("part"))
+    low = known.groupBy("doc_id").agg(F.min("part").alias("low"))
+    ties = components(known.join(low, "doc_id").select(F.col("low").alias("a"), F.col("part").alias("b")), scratch)
+    known = known.join(ties, known.part == ties.id, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "part").alias("whole"))
+    least = known.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    unknown = found.where("number IS NULL").select(F.col("number").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return known.join(least, "whole").select("doc_id", "n_shingles", "component_id").union(unknown)
+
+
+def joined(df: DataFrame, scratch: Scratch, stars: int) -> DataFrame:
+    """``similar_documents`` of rows of which none repeats a doc_id."""
     spark = df.sparkSession
-    scratch = scratch or Scratch(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
     packed = scratch.save(packed_sets(df, buckets), "packed")
     base = scratch.save(set_sizes(packed), "sizes")

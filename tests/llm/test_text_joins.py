@@ -80,6 +80,30 @@ def test_join_awkward(awkward, none):
     assert nj.similar_documents(none).count() == 0
 
 
+def test_join_with_repeated_ids(spark):
+    """Each text of a doc_id keeps its links, and ties those of the others to them."""
+    rows = near_rows(12, 240)
+    rows = [(d // 3 * 3 if d % 5 == 0 else d, t) for d, t in rows] + [(7, None), (7, ""), (500, ""), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.similar_documents(df).collect() if r["doc_id"] is not None)
+    known = [(d, t) for d, t in rows if d is not None]
+    alone = brute_components([(k, t) for k, (_, t) in enumerate(known)])
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k, (d, _) in enumerate(known):
+        parent[root(("set", alone[k][1]))] = root(("doc", d))
+    least = {}
+    for d, _ in known:
+        least[root(("doc", d))] = min(d, least.get(root(("doc", d)), d))
+    want = sorted((d, alone[k][0], least[root(("doc", d))]) for k, (d, _) in enumerate(known))
+    assert got == want and len({d for d, _ in known}) < len(known) - 20 and 20 < len(least) < 120
+
+
 def test_block_keys_meet():
     """Sets at the threshold share a key, in every size class."""
     rng = np.random.default_rng(2)
