@@ -285,3 +285,50 @@ def test_pipeline_stages(spark, data, docs, tmp_path):
     whole = pack_documents(before).groupBy("sequence_id").sum("length").toPandas()
     assert now.count() == pack_documents(before).count() and whole["sum(length)"].max() <= 1024
     assert corpus_pipeline.run(spark, data).count() == now.count()
+
+
+def test_pipeline_texts(spark, data, docs, tmp_path):
+    """Texts that stage 3 leaves, words that each source of the mix has, and places of packed pieces."""
+    old = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    seen, want = set(), {}
+    for d, t in sorted(old):
+        raw = (t or "").encode()
+        windows = [raw[i : i + 50] for i in range(len(raw) - 49)]
+        gone = {i + k for i, w in enumerate(windows) if w in seen for k in range(50)}
+        seen.update(windows)
+        if len(gone) < len(raw) or not raw:
+            want[d] = bytes(c for i, c in enumerate(raw) if i not in gone).decode("utf-8", "ignore")
+    left = corpus_pipeline.repeated_passages(spark, docs, data)
+    left.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    rows = left.collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == want and len(rows) == len(want)
+
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += len(r["text"].encode().split())
+    names = sorted(sizes)
+    goal, held = {}, {}
+    while True:
+        free = [k for k in range(len(names)) if k not in held]
+        rest, total = sum(sizes.values()) - sum(held.values()), sum((5, 2, 1)[k % 3] for k in free)
+        goal = held | {k: rest * (5, 2, 1)[k % 3] / total for k in free}
+        over = {k: 3.0 * sizes[names[k]] for k in free if goal[k] > 3 * sizes[names[k]]}
+        if not over:
+            break
+        held |= over
+    mixed = corpus_pipeline.mixing(spark, left, data)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    taken = defaultdict(int)
+    for r in mixed.collect():
+        taken[r["source"]] += len(r["text"].encode().split())
+    assert all(abs(taken[n] - goal[k]) <= 1 for k, n in enumerate(names))
+
+    places = defaultdict(list)
+    for r in corpus_pipeline.packing(spark, mixed, data).collect():
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(places) == list(range(len(places)))
+    for p in places.values():
+        ends = [a + n for a, n in sorted(p)]
+        assert [a for a, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 1024
