@@ -76,6 +76,23 @@ def _exchange(low: Counter, high: Counter, room: int, lead: int) -> tuple[Counte
     return best and best[1:]
 
 
+def _improve(pool: list[list], under: list[list], lows: list[list], part: slice, capacity: int) -> bool:
+    """Make the first exchange found between one of ``lows`` and a part of the fuller patterns."""
+    for low in lows:
+        for high in sorted((p for p in under if p[2] >= low[2] and (p is not low or p[1] > 1)), key=lambda p: -p[2])[part]:
+            times = min(low[1], high[1]) if high is not low else low[1] // 2
+            if not times or not (found := _exchange(low[0], high[0], capacity - high[2], high[2] - low[2])):
+                continue
+            give, take = found
+            gain = sum(give.elements()) - sum(take.elements())
+            a, b = low[0] - give + take, high[0] - take + give
+            low[1] -= times
+            high[1] -= times
+            pool += [[a, times, low[2] - gain], [b, times, high[2] + gain]]
+            return True
+    return False
+
+
 def local_search(bins: list[tuple[Counter, int]], capacity: int, rounds: int = 2000) -> list[tuple[Counter, int]]:
     """Empty the least filled patterns into others; ``rounds`` bounds the effort, not the data."""
     total = sum(s * n * m for items, m in bins for s, n in items.items())
@@ -86,19 +103,9 @@ def local_search(bins: list[tuple[Counter, int]], capacity: int, rounds: int = 2
         pool = [p for p in pool if p[1] and p[2]]
         under = sorted((p for p in pool if p[2] < capacity), key=lambda p: p[2])
         moved = False
-        for low in under[:16]:
-            for high in sorted((p for p in under if p[2] >= low[2] and (p is not low or p[1] > 1)), key=lambda p: -p[2])[:200]:
-                times = min(low[1], high[1]) if high is not low else low[1] // 2
-                if not times or not (found := _exchange(low[0], high[0], capacity - high[2], high[2] - low[2])):
-                    continue
-                give, take = found
-                gain = sum(give.elements()) - sum(take.elements())
-                a, b = low[0] - give + take, high[0] - take + give
-                low[1] -= times
-                high[1] -= times
-                pool += [[a, times, low[2] - gain], [b, times, high[2] + gain]]
-                moved = True
-                break
+        # The emptiest against the fullest first; if that gives nothing, all other pairs.
+        for first, last, least_full, most_full in ((0, 16, 0, 200), (0, 16, 200, None), (16, None, 0, None)):
+            moved = _improve(pool, under, under[first:last], slice(least_full, most_full), capacity)
             if moved:
                 break
         if not moved:

@@ -246,3 +246,17 @@ def test_schedule_is_even(spark):
         assert turn == have[s]
         have[s] += 1
         assert all(abs(have[k] - n * q / 1007) < 6 for k, q in enumerate(slots))
+
+
+@pytest.mark.parametrize("seed", [1, 3, 5])
+def test_local_search_leaves_no_exchange(seed):
+    """No two patterns are left that an exchange improves, beyond the emptiest and fullest ones too."""
+    from querywright.llm import packing
+
+    rng = np.random.default_rng(seed)
+    sizes = {int(s): int(rng.integers(1, 30)) for s in rng.choice(np.arange(150, 1024), 60, replace=False)}
+    bins = [(items, m, sum(s * n for s, n in items.items())) for items, m in packing.pack_histogram(sizes, 1024)]
+    under = [b for b in bins if b[2] < 1024]
+    pairs = [(a, b) for a in under for b in under if b[2] >= a[2] and (a is not b or a[1] > 1)]
+    assert len(under) > 16 and not any(packing._exchange(a[0], b[0], 1024 - b[2], b[2] - a[2]) for a, b in pairs)
+    assert {s: sum(i[s] * m for i, m, _ in bins) for s in sizes} == sizes
