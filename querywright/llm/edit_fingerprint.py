@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, small_batches
+from .common import Scratch, documents, mixed, small_batches
 
 PERIOD, SAMPLES, AHEAD = 4096, 96, 8
 #: Characters of a sample in a band of ``near_texts``; groups of its count vectors.
@@ -32,15 +32,6 @@ NEAR, GROUPS = 6, 256
 TOGETHER = 6_000_000
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser: the same numbers everywhere."""
-    with np.errstate(over="ignore"):
-        x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def _stays() -> np.ndarray:
     """For class and time: steps until the walk goes on."""
     coin = (mixed(np.arange(256 * PERIOD)) & np.uint64(1)).astype(bool).reshape(256, PERIOD)

@@ -1,104 +1,284 @@
 """Operator 4: n-gram Jaccard join over count vectors.
 
-A document is its set of 5-word shingles.  Shingles are hashed into groups; the counts per group are a
-point, and the overlap of two sets is at most the sum of the coordinate minima of their points.  One
-R-tree over all points cannot prune here: the coordinates of unrelated documents of one size differ by
-less than the bound allows, so nearly every box meets every other.  The coordinates are therefore cut
-into blocks, and the tree's first level is exact: sets with Jaccard similarity of at least 0.8 and a
-members differ in at most a/4 of them, hence in at most so many blocks.  Ordered by load and hash, the
-first a/4 + 1 non-empty blocks of two linked sets share one whose content is equal (the prefix
-principle), so documents meet under the keys of those blocks and nowhere else.  Within a key, boxes of
-a count-vector R-tree are compared by summed coordinate minima, and what survives is verified on the
-whole sets.
-
-Only links between different components matter for the result, so each key first holds its
-members against one of them (a star); keys whose members all came together are done, and the tree
-joins the rest exactly.  No pair of a key is left out: it is linked, verified, bounded away, or already
-in one component.
-
-Sets are kept as 64-bit hashes of shingles.  Equal sets stand for their smallest doc_id.  Words are
-split at ASCII white space after lower-casing A-Z.  Null and empty texts have no set and no link; they and
-rows with a null doc_id keep their own doc_id as component.  Rows that repeat a doc_id are one node with
-the links of all their sets: they are numbered, joined by number, and tied together afterwards.
+A document is its set of distinct 5-word shingles, as 56-bit hashes.  Shingles are hashed into groups; the counts per
+group are a point, and the overlap of two sets is at most the sum of the coordinate minima of their points.  Boxes
+of an R-tree over the points are compared by that bound, and pairs of points that it allows are verified on the sets.
+
+One tree over all points would hold each box against nearly every other, so documents are first told apart exactly:
+
+1. How many documents hold a shingle is counted over all of them.  Texts go by in batches; a batch sends each of its
+   shingles once to where all its counts meet, and gets back those that two documents hold.  Shingles that many
+   documents of a batch hold are sent without their documents, so a common one weighs a row a batch.
+2. What two linked sets share is at least four fifths of either, so a document with fewer shared shingles is
+   linked with nothing.  In the rest, rarest shingles first, two linked sets have one of their first a - ceil(4a/5) + 1
+   in common (the prefix principle), which leaves common passages out.
+3. Documents that those first shingles connect, directly or through others, are a family; links lie within families.
+   Each family is one block, or several of bounded rows and bytes that are held against each other
+   in pairs; one of more than ``whole`` blocks falls apart by first shingle.  In each pair of blocks the tree runs, pairs
+   already connected there are passed over, and what it verifies as linked becomes one edge: edges grow with the
+   documents, not with pairs.
+
+Components of the edges are the result.  Equal sets stand for their smallest doc_id.  Words are split at ASCII white
+space after lower-casing A-Z.  Null and empty texts have no set and no link; they and rows with a null doc_id keep
+their own doc_id as component.  Rows that repeat a doc_id are one node with the links of all their sets: they are
+numbered, joined by number, and tied together afterwards.  An empty table gives an empty result.  Columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, documents, small_batches
-from .edit_fingerprint import mixed
-from .suffix_dedup import squeezed
+from .common import Scratch, components, documents, mixed, small_batches
 
 WORDS, GROUPS = 5, 512
-_PLACES = mixed(np.arange(WORDS) + 77) | np.uint64(1)
-
-
-class WordHashes(dict):
-    """Remembers words; forgets all beyond ``most``."""
-
-    most = 1_000_000
+#: Shingles of a batch, and from how many of its documents on a shingle is sent without them.
+BATCH, COMMON = 1_000_000, 64
+_PLACES = mixed(np.arange(64) + 77) | np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-_WORDS = WordHashes()
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
+    """Sorted distinct 56-bit hashes of the shingles of a text; of one with fewer words, of all its words as one."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     if len(w) < words:
-        return mixed(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(w))], np.uint64))
-    s = np.zeros(len(h) - words + 1, np.uint64)
-    for k in range(words):
-        s += h[k : len(h) - words + 1 + k] * (_PLACES[k] if k < WORDS else mixed(np.array(k)) | np.uint64(1))
-    return np.unique(mixed(s))
+        s = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(w))], np.uint64)
+    else:
+        s = np.zeros(len(h) - words + 1, np.uint64)
+        for k in range(words):
+            s += h[k : len(h) - words + 1 + k] * _PLACES[k]
+    return distinct(mixed(s) >> np.uint64(8))
 
 
 def counts(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """The count vector of a set (a group of 65,535 or more would need a set of millions)."""
-    return np.bincount((mixed(h) % np.uint64(groups)).astype(np.int64), minlength=groups).clip(max=65535).astype(np.uint16)
+    """The count vector of a set."""
+    return np.bincount((h % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
+def needed(n):
+    """How many shingles of a set of ``n`` must be in every set it is linked with."""
+    return (4 * n + 4) // 5
 
 
-def block_keys(h: np.ndarray) -> np.ndarray:
-    """Keys under which a set meets every set that it may be linked with.
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, each compressed where that helps."""
+    import zstandard
 
-    Sizes fall into classes of powers of two; a set also joins the next class if a partner may be in
-    it.  Up to 64 members every shingle is a block of its own; above, there are 0.4 blocks a member
-    of the largest set of the class, which leaves over a/4 blocks non-empty (by ten standard
-    deviations at 65 members, more above)."""
-    a = len(h)
-    if not a:
-        return h
-    home = (a - 1).bit_length()
+    pack = zstandard.ZstdCompressor(level=1).compress
     out = []
-    for k in [home, home + 1] if a * 5 // 4 > 1 << home else [home]:
-        salt = mixed(np.array(k + 1000))
-        if k <= 6:
-            keys = np.sort(mixed(h ^ salt))
-        else:
-            m = np.uint64(0.4 * (1 << k))
-            block = mixed(h ^ salt) % m
-            order = np.argsort(block, kind="stable")
-            at = block[order]
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            load = np.diff(np.concatenate([starts, [a]]))
-            keys = mixed(np.add.reduceat(h[order], starts) ^ mixed(at[starts] ^ salt))
-            keys = keys[np.lexsort((keys, -load))]
-        out.append(keys[: a // 4 + 1])
-    return np.concatenate(out)
+    for a in arrays:
+        raw = a.tobytes()
+        small = pack(raw)
+        helps = len(small) < len(raw)
+        body = small if helps else raw
+        out.append(struct.pack("<4sBI", a.dtype.str.encode(), helps, len(body)) + body)
+    return b"".join(out)
+
+
+def unpacked(body) -> list[np.ndarray]:
+    import zstandard
+
+    unpack, out, at = zstandard.ZstdDecompressor().decompress, [], 0
+    while at < len(body):
+        kind, small, n = struct.unpack_from("<4sBI", body, at)
+        raw = body[at + 9 : at + 9 + n]
+        out.append(np.frombuffer(unpack(raw) if small else raw, kind.rstrip(b"\0").decode()))
+        at += 9 + n
+    return out
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    most = int(a.max(initial=0))
+    return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
+def gaps(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens as low and high halves of their differences."""
+    d = np.diff(tokens, prepend=np.uint64(0))
+    return d.astype("<u4"), narrow(d >> np.uint64(32))
+
+
+def joined_gaps(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.cumsum(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), dtype=np.uint64)
+
+
+def planes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (a & 255).astype("<u1"), narrow(a >> 8)
+
+
+def starts(a: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+
+
+_SENT = pa.schema([("slice", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+
+
+class Sender:
+    """Documents of a batch and their shingles; equal sets of a batch send those of the first."""
+
+    def __init__(self, part: int, slices: int):
+        self.part, self.slices, self.number = part, slices, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.docs, self.sizes, self.digests, self.sets, self.owners, self.seen, self.n = [], [], [], [], [], set(), 0
+
+    def add(self, doc: int | None, text: str | None) -> None:
+        s = shingles(text)
+        digest = xxhash.xxh3_128_digest(s.tobytes())
+        if doc is not None and len(s) and digest not in self.seen:
+            self.seen.add(digest)
+            self.sets.append(s)
+            self.owners.append(len(self.docs))
+            self.n += len(s)
+        self.docs.append(doc)
+        self.sizes.append(len(s))
+        self.digests.append(digest)
+
+    def flush(self) -> pa.RecordBatch:
+        """Row of kind 0: documents, and those of common shingles; of kind 1: shingles of a slice of the hash range."""
+        tokens = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        who = np.repeat(np.array(self.owners, np.int64), [len(s) for s in self.sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, who = tokens[order], who[order]
+        at = starts(tokens)
+        many = np.diff(np.append(at, len(tokens)))
+        common = many >= COMMON
+        inline = np.repeat(~common, many)
+        tokens = tokens[at]
+        batch = self.part << 32 | self.number
+        known = np.array([d is not None for d in self.docs], np.uint8)
+        docs = np.array([d or 0 for d in self.docs], "<i8")
+        head = packed(docs, known, np.array(self.sizes, "<i8"), np.frombuffer(b"".join(self.digests), np.uint8), tokens[common], many[common], narrow(who[~inline]))
+        rows = [(batch % self.slices, 0, head)]
+        slices = ((tokens >> np.uint64(24)) * np.uint64(self.slices) >> np.uint64(32)).astype(np.int64)
+        cuts = np.append(starts(slices), len(slices))
+        held = who[inline]
+        ends = np.concatenate([[0], np.cumsum(np.where(common, 0, many))])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rows.append((int(slices[a]), 1, packed(*gaps(tokens[a:b]), narrow(many[a:b]), *planes(held[ends[a] : ends[b]]))))
+        self.number += 1
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=_SENT)
+
+
+def counted(rows: list[tuple[int, bytes]]):
+    """Rows (batch, kind, body) of one slice: of each batch its shingles that two documents hold, with how many do."""
+    bodies = [unpacked(body) for _, body in rows]
+    tokens = [joined_gaps(b[0], b[1]) for b in bodies]
+    flat = np.concatenate(tokens)
+    many = np.concatenate([b[2] for b in bodies]).astype(np.int64)
+    order = np.argsort(flat, kind="stable")
+    at = starts(flat[order])
+    held = np.empty(len(flat), np.int64)
+    held[order] = np.repeat(np.add.reduceat(many[order], at), np.diff(np.append(at, len(flat))))
+    done = 0
+    for (batch, _), b, t in zip(rows, bodies, tokens, strict=True):
+        df, n = held[done : done + len(t)], b[2].astype(np.int64)
+        done += len(t)
+        keep = df > 1
+        if keep.any():
+            inside = np.repeat(keep, np.where(n >= COMMON, 0, n))
+            yield batch, 1, packed(*gaps(t[keep]), narrow(df[keep]), b[2][keep], b[3][inside], b[4][inside])
+
+
+_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("first", pa.list_(pa.int64()))])
+
+
+def gathered(head: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """A row for each document of a batch; ``tokens``, its shared shingles, and ``first``, the rarest, where it may be linked."""
+    docs, known, sizes, digests, common, common_n, common_docs = head
+    parts = sorted(parts, key=lambda p: (int(p[1][0]), int(p[0][0])))  # by first shingle: slices are ranges
+    tokens = np.concatenate([np.zeros(0, np.uint64), *[joined_gaps(p[0], p[1]) for p in parts]])
+    df = np.concatenate([np.zeros(0, np.int64), *[p[2].astype(np.int64) for p in parts]])
+    many = np.concatenate([np.zeros(0, np.int64), *[p[3].astype(np.int64) for p in parts]])
+    inline = np.concatenate([np.zeros(0, np.int64), *[p[4].astype(np.int64) | p[5].astype(np.int64) << 8 for p in parts]])
+    few = many < COMMON  # the others are those of the head, in the same order
+    t = np.concatenate([np.repeat(tokens[few], many[few]), np.repeat(common, common_n)])
+    d = np.concatenate([np.repeat(df[few], many[few]), np.repeat(df[~few], common_n)])
+    who = np.concatenate([inline, common_docs.astype(np.int64)])
+    order = np.lexsort((t, d, who))
+    t, who = t[order], who[order]
+    shared = np.bincount(who, minlength=len(docs))
+    ends = np.cumsum(shared)
+    left = np.where(sizes > 0, shared - needed(sizes) + 1, 0)
+    sets: list = [None] * len(docs)
+    first: list = [None] * len(docs)
+    for k in np.flatnonzero(left > 0).tolist():
+        own = t[ends[k] - shared[k] : ends[k]]
+        first[k] = own[: left[k]].astype(np.int64)
+        sets[k] = np.sort(own).tobytes()
+    raw = digests.tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=known == 0), pa.array(sizes, pa.int64()), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(sets, pa.binary()), pa.array(first, pa.list_(pa.int64()))], schema=_DOC)
+
+
+def shared_shingles(df: DataFrame) -> DataFrame:
+    """(doc_id, n, digest, tokens, first) of every row; the last two null where no other document can be linked."""
+    spark = df.sparkSession
+    small_batches(spark)
+    slices = 16 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def send(batches):
+        from pyspark import TaskContext
+
+        to = Sender(TaskContext.get().partitionId(), slices)
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                to.add(doc, text.as_py())
+                if to.n >= BATCH or len(to.docs) >= 1 << 16:
+                    yield to.flush()
+        if to.docs:
+            yield to.flush()
+
+    def meet(batches):
+        def settle(rows):
+            rows = list(counted(rows)) if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SENT)[1:], strict=True)], schema=pa.schema(list(_SENT)[1:]))
+
+        rows, now = [], None
+        for b in batches:
+            heads = b.filter(pa.compute.equal(b.column(2), 0))
+            if heads.num_rows:
+                yield heads.select(["batch", "kind", "body"])
+            for s, batch, kind, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 0:
+                    continue
+                if s != now:
+                    yield from settle(rows)
+                    rows, now = [], s
+                rows.append((batch, body))
+        yield from settle(rows)
+
+    def gather(batches):
+        head, parts, now = None, [], None
+        for b in batches:
+            for batch, kind, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if batch != now:
+                    if head:
+                        yield gathered(head, parts)
+                    head, parts, now = unpacked(body), [], batch
+                else:
+                    parts.append(unpacked(body))
+        if head:
+            yield gathered(head, parts)
+
+    sent = df.select("doc_id", "text").mapInArrow(send, "slice int, batch long, kind int, body binary")
+    met = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "batch long, kind int, body binary")
+    return met.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(gather, "doc_id long, n long, digest binary, tokens binary, first array<long>")
 
 
 class CountTree:
@@ -140,170 +320,84 @@ class CountTree:
                 todo += [(u, c) for c in v[3]]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of two sorted sets of at least 0.8, in whole numbers."""
+def linked(a: np.ndarray, b: np.ndarray, m: int | None = None, n: int | None = None) -> bool:
+    """Jaccard similarity of at least 0.8, in whole numbers, of sets of ``m`` and ``n`` members; of these
+    ``a`` and ``b`` hold, sorted, at least those that another set has."""
+    m, n = len(a) if m is None else m, len(b) if n is None else n
+    if 5 * min(m, n) < 4 * max(m, n):
+        return False
     if len(a) > len(b):
         a, b = b, a
-    if 5 * len(a) < 4 * len(b):
+    if not len(a):
         return False
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= 80 * (len(a) + len(b) - both)
-
-
-def packed_sets(df: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the texts: rows (bucket, low, keys, docs), a row per batch of texts and bucket of keys.
-
-    Bucket -1 holds the batch's documents instead: their set sizes and digests under ``keys``.
-    Equal sets of a batch send the keys of one of them."""
-    small_batches(df.sparkSession)
-
-    def send(batches):
-        def flush(held):
-            keys = np.concatenate([k for _, k in held])
-            docs = np.repeat(np.array([d for d, _ in held], np.int64), [len(k) for _, k in held])
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            low = int(docs.min())
-            off = docs - low
-            wide = "<u4" if int(off.max()) < 1 << 32 else "<u8"
-            keys, off = keys[order], off[order].astype(wide)
-            rows = [(k, keys[a:b].tobytes(), off[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([low] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "low", "keys", "docs"])
-
-        held, seen, n = [], set(), 0
-        for b in batches:
-            ids, sizes, digests = b.column(0), [], []
-            for d, t in zip(ids.to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if d is not None and len(s) and digests[-1] not in seen:
-                    seen.add(digests[-1])
-                    held.append((d, block_keys(s)))
-                    n += len(held[-1][1])
-            known = np.array(ids.is_valid().to_pylist(), np.uint8)
-            docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + known.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([np.array(sizes, "<i8").tobytes() + b"".join(digests)], pa.binary()), pa.array([docs], pa.binary())], ["bucket", "low", "keys", "docs"])
-            if n >= 1_000_000:
-                yield flush(held)
-                held, seen, n = [], set(), 0
-        if held:
-            yield flush(held)
-
-    return df.select("doc_id", "text").mapInArrow(send, "bucket int, low long, keys binary, docs binary")
-
-
-def set_sizes(packed: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set) of every row."""
+    return 9 * both >= 4 * (m + n)
+
+
+def block_edges(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+    """Links that connect all documents of block ``p`` and of block ``q`` that links between the two connect."""
+    parent = list(range(len(docs)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    i, j = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+    if not len(i) or not len(j):
+        return []
+    points = np.stack([counts(s) for s in sets])
+    points = points.astype(np.uint16 if points.max() < 1 << 16 else np.uint32)
+    one = CountTree(points[i], sizes[i])
+    found = []
+    for x, y in one.pairs(one if p == q else CountTree(points[j], sizes[j]), p == q):
+        for a, b in zip(i[x].tolist(), j[y].tolist(), strict=True):
+            if (u := root(a)) != (v := root(b)) and linked(sets[a], sets[b], int(sizes[a]), int(sizes[b])):
+                parent[u] = v
+                found.append((int(docs[a]), int(docs[b])))
+    return found
+
+
+def family_links(members: DataFrame, sets: DataFrame, chunk: int, room: int = 1 << 25) -> DataFrame:
+    """Edges (a, b) of ``members(kind, family, doc)``, each pair of blocks of a family in turn.
+
+    A block has about ``chunk`` documents, and ``room`` bytes of sets."""
+    rows = members.join(sets, "doc")
+    parts = rows.groupBy("kind", "family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum(F.length("tokens")) / room)).cast("int").alias("parts"))
+    rows = rows.join(parts, ["kind", "family"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("kind", "family", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc", "n", "tokens")
 
     def run(batches):
-        for b in batches:
-            for n, k, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                k, d = k.as_buffer().to_pybytes(), d.as_buffer().to_pybytes()
-                sizes = np.frombuffer(k, "<i8", n)
-                docs = pa.array(np.frombuffer(d, "<i8", n), pa.int64(), mask=np.frombuffer(d, np.uint8, n, 8 * n) == 0)
-                yield pa.RecordBatch.from_arrays([docs, pa.array(sizes), pa.array([k[i : i + 16] for i in range(8 * n, 24 * n, 16)], pa.binary())], ["doc_id", "n_shingles", "digest"])
+        def edges(held):
+            found = block_edges(np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], np.int64), [np.frombuffer(r[7], np.uint64) for r in held], np.array([r[4] for r in held]), *at[2:])
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return packed.where("bucket < 0").select("low", "keys", "docs").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
-
-
-def shared_keys(packed: DataFrame, buckets: int) -> DataFrame:
-    """(key, doc_id) of every key that more than one doc_id has."""
-
-    def meet(batches):
-        keys, docs = [], []
+        held, at = [], None
         for b in batches:
-            for low, k, d in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                k = np.frombuffer(k.as_buffer(), np.uint64)
-                d = np.frombuffer(d.as_buffer(), f"<u{len(d.as_buffer()) // len(k)}")
-                keys.append(k)
-                docs.append(d.astype(np.int64) + low)
-        if not keys:
-            return
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        same = keys[1:] == keys[:-1]
-        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        keys, docs = keys[more].view(np.int64), docs[more]
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(docs[i : i + 100_000])], ["key", "doc_id"])
-
-    return packed.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(meet, "key long, doc_id long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked.  A hot b is split, its set going to every part."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("parts"))
-    left = pairs.join(parts, "b").join(sets.select(F.col("doc_id").alias("a"), "members"), "a").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", "members")
-    mid = parts.join(sets.select(F.col("doc_id").alias("b"), "members"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "members")
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            a, b = [], []
-            for x, y, m in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                m = np.frombuffer(m.as_buffer(), np.uint64)
-                if y is None:
-                    held = m
-                elif linked(held, m):
-                    a.append(y)
-                    b.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return left.union(mid).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
-
-
-def tree_pairs(groups: DataFrame, sets: DataFrame, chunk: int = 1024) -> DataFrame:
-    """Pairs of different components within a key that the summed minima allow.
-
-    A key beyond ``chunk`` members is joined in blocks, chunk against chunk, so none is gathered."""
-    n = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    g = groups.join(n, "key").join(sets.select("doc_id", "n", "vector"), "doc_id").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "component", "n", "vector")
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:4] != at and held:
+                    yield edges(held)
+                    held = []
+                at = r[:4]
+                held.append(r)
+        if held:
+            yield edges(held)
 
-    def run(batches):
-        def join(rows):
-            docs, comp, sizes = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-            points = np.stack([np.frombuffer(r[7], np.uint16) for r in rows])
-            mine = np.array([r[3] for r in rows])
-            p, q = rows[0][1], rows[0][2]
-            i, j = (np.flatnonzero(mine == x) for x in (p, q))
-            if not len(i) or not len(j):
-                return
-            one = CountTree(points[i], sizes[i])
-            two = one if p == q else CountTree(points[j], sizes[j])
-            for x, y in one.pairs(two, p == q):
-                x, y = i[x], j[y]
-                ok = comp[x] != comp[y]
-                a, b = np.minimum(docs[x], docs[y])[ok], np.maximum(docs[x], docs[y])[ok]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        rows, at = [], None
-        for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if r[:3] != at and rows:
-                    yield from join(rows)
-                    rows = []
-                at = r[:3]
-                rows.append(r)
-        if rows:
-            yield from join(rows)
+    return rows.repartition("kind", "family", "p", "q").sortWithinPartitions("kind", "family", "p", "q").mapInArrow(run, "a long, b long")
 
-    return g.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
+def similar_documents(df: DataFrame, scratch: Scratch | None = None, chunk: int = 1024, whole: int = 32) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``df(doc_id, text)``.
 
-def similar_documents(df: DataFrame, scratch: Scratch | None = None, stars: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``df(doc_id, text)``."""
+    ``chunk``: documents of a block; ``whole``: blocks of a family beyond which it falls apart by first shingle."""
     scratch = scratch or Scratch(df.sparkSession)
     if df.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
-        return joined(df, scratch, stars)
+        return joined(df, scratch, chunk, whole)
     # Saved, since numbers must not change between reads.
     rows = scratch.save(df.select("doc_id", "text").withColumn("number", F.expr("IF(doc_id IS NULL, NULL, monotonically_increasing_id())")), "rows")
-    found = scratch.save(joined(rows.select(F.col("number").alias("doc_id"), "text"), scratch, stars), "found").withColumnRenamed("doc_id", "number")
+    found = scratch.save(joined(rows.select(F.col("number").alias("doc_id"), "text"), scratch, chunk, whole), "found").withColumnRenamed("doc_id", "number")
     known = found.join(rows.select("number", "doc_id"), "number").select("doc_id", "n_shingles", F.col("component_id").alias("part"))
     low = known.groupBy("doc_id").agg(F.min("part").alias("low"))
     ties = components(known.join(low, "doc_id").select(F.col("low").alias("a"), F.col("part").alias("b")), scratch)
@@ -313,63 +407,30 @@ def similar_documents(df: DataFrame, scratch: Scratch | None = None, stars: int
     return known.join(least, "whole").select("doc_id", "n_shingles", "component_id").union(unknown)
 
 
-def joined(df: DataFrame, scratch: Scratch, stars: int) -> DataFrame:
+def joined(df: DataFrame, scratch: Scratch, chunk: int, whole: int) -> DataFrame:
     """``similar_documents`` of rows of which none repeats a doc_id."""
-    spark = df.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    packed = scratch.save(packed_sets(df, buckets), "packed")
-    base = scratch.save(set_sizes(packed), "sizes")
-    same = base.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    base = base.join(same, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    base = scratch.save(base, "reps")
-    shared = scratch.save(shared_keys(packed, buckets), "shared")
-    scratch.drop(packed)
-    moved = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    groups = scratch.save(shared.join(moved, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct(), "groups")
-    small_batches(spark)
-
-    def whole(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            found = [shingles(unpack(z.as_buffer()).decode("utf-8", "surrogatepass")) for z in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([counts(s).tobytes() for s in found], pa.binary())], ["doc_id", "n", "members", "vector"])
-
-    several = groups.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
-    wanted = groups.join(several.select("key"), "key", "left_semi").select("doc_id").distinct()
-    sets = squeezed(df).join(wanted, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, n long, members binary, vector binary")
-    sets = scratch.save(sets.dropDuplicates(["doc_id"]), "sets")
-
-    links = None
-    tried = None
-    found = spark.createDataFrame([], "id long, component_id long")
-    for turn in range(stars + 1):
-        g = groups.join(found, groups.doc_id == found.id, "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
-        centre = g.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("c")).where("x < y")
-        g = g.join(centre.select("key", "c"), "key")
-        if turn == stars:
-            # Keys with the same members say the same: one of them is enough.
-            alike = g.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("k"))
-            one = alike.groupBy("n", "h", "k").agg(F.min("key").alias("key")).select("key")
-            left = scratch.save(g.join(one, "key", "left_semi").select("key", "doc_id", "component"), "left")
-            if left.isEmpty():
-                break
-            pairs = tree_pairs(left, sets)
-        else:
-            # Each member is held against the two middles it shares most keys with; the tree sees to the rest.
-            met = g.where("component <> c.component").groupBy(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-            met = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r <= 2")
-            pairs = met.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).groupBy("lo", "hi").agg(F.min("b").alias("b"))
-            pairs = pairs.select(F.when(F.col("lo") == F.col("b"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
-        if tried is not None:
-            pairs = pairs.join(tried.select(F.least("a", "b").alias("l2"), F.greatest("a", "b").alias("h2")), (F.least("a", "b") == F.col("l2")) & (F.greatest("a", "b") == F.col("h2")), "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        new = scratch.save(verified(pairs, sets), "links")
-        links = new if links is None else links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = scratch.save(components(links, scratch), "components")
-    return base.join(found, base.rep == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    docs = scratch.save(shared_shingles(df), "docs")
+    same = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    base = scratch.save(docs.select("doc_id", "n", "digest").join(same, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "base")
+    # Equal sets of different batches were all sent: one of them stands for the smallest doc_id.
+    live = docs.where("tokens IS NOT NULL").dropDuplicates(["digest"]).join(same, "digest").select(F.col("rep").alias("doc"), "n", "tokens", "first")
+    live = scratch.save(live, "sets")
+    firsts = live.select("doc", F.explode("first").alias("key"))
+    several = firsts.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    shared = scratch.save(firsts.join(several.select("key", "low"), "key"), "shared")
+    families = scratch.save(components(shared.select(F.col("low").alias("a"), F.col("doc").alias("b")), scratch), "families")
+    large = families.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk * whole).select(F.col("component_id").alias("id"))
+    large = scratch.save(families.join(large, families.component_id == large.id, "left_semi").select(F.col("id").alias("doc")), "large")
+    members = families.select(F.lit(0).alias("kind"), F.col("component_id").alias("family"), F.col("id").alias("doc"))
+    if not large.isEmpty():
+        apart = shared.join(large, "doc", "left_semi").select("key", "doc")
+        # Keys with the same members say the same: one of them is enough.
+        alike = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("k"))
+        one = alike.groupBy("n", "h", "k").agg(F.min("key").alias("key")).select("key")
+        members = members.join(large, "doc", "left_anti").select("kind", "family", "doc").union(apart.join(one, "key", "left_semi").select(F.lit(1), "key", "doc"))
+    edges = scratch.save(family_links(members, live.select("doc", "n", "tokens"), chunk), "links")
+    found = components(edges, scratch)
+    return base.join(found, base.rep == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, small_batches
-from .edit_fingerprint import mixed
+from .common import Scratch, documents, mixed, small_batches
 
 SPAN, GRAM = 50, 16
 #: Bytes of a text whose anchors are found at a time; places in it take 24 bits.

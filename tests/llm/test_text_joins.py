@@ -65,12 +65,26 @@ def test_join_on_documents(spark, data, docs):
     assert answer(nj.op4_ngram_join(spark, data)) == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_join_of_chains(spark, stars):
-    """With no stars the tree alone finds every link."""
+@pytest.mark.parametrize(("chunk", "whole"), [(1024, 32), (7, 100), (5, 1)])
+def test_join_of_chains(spark, chunk, whole):
+    """In whole families, in pairs of blocks, and by first shingle."""
     rows = near_rows(5, 400)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert answer(nj.similar_documents(df, stars=stars)) == brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(nj.similar_documents(df, chunk=chunk, whole=whole)) == brute_components(rows)
+
+
+def test_join_of_a_hot_group(spark, monkeypatch):
+    """A third are near copies of one text, and shingles are common within a batch."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = near_rows(6, 300)
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(150)] = rng.choice(WORDS)
+        rows.append((1000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert answer(nj.similar_documents(df, chunk=40)) == brute_components(rows)
 
 
 def test_join_awkward(awkward, none):
@@ -104,15 +118,38 @@ def test_join_with_repeated_ids(spark):
     assert got == want and len({d for d, _ in known}) < len(known) - 20 and 20 < len(least) < 120
 
 
-def test_block_keys_meet():
-    """Sets at the threshold share a key, in every size class."""
-    rng = np.random.default_rng(2)
-    for n in [5, 9, 40, 64, 65, 100, 129, 500, 2000]:
-        for _ in range(20):
-            base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            k = len(base) // 9
-            other = np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)]))
-            assert not nj.linked(base, other) or np.intersect1d(nj.block_keys(base), nj.block_keys(other)).size
+def test_counts_come_back():
+    """Each document of a batch gets its shared shingles, rarest first, however common they are in the batch."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS[:6]) for _ in range(rng.choice([3, 9, 30]))) + " and so say all of us" * (k % 3 > 0) for k in range(400)]
+    heads, parts, senders = {}, defaultdict(list), []
+    for part in range(2):
+        to = nj.Sender(part, 4)
+        for k, t in enumerate(texts[part::2]):
+            to.add(2 * k + part, t)
+        senders.append(to.flush())
+    for s in range(4):
+        rows = [r for b in senders for r in b.to_pylist() if r["slice"] == s]
+        heads |= {r["batch"]: r["body"] for r in rows if r["kind"] == 0}
+        for batch, _, body in nj.counted([(r["batch"], r["body"]) for r in rows if r["kind"]]):
+            parts[batch].append(nj.unpacked(body))
+    got = [r for batch, head in heads.items() for r in nj.gathered(nj.unpacked(head), parts[batch]).to_pylist()]
+    sets = [nj.shingles(t) for t in texts]
+    sent = {(k % 2, s.tobytes()): k for k, s in reversed(list(enumerate(sets)))}
+    df = defaultdict(int)
+    for k in sent.values():
+        for x in sets[k].tolist():
+            df[x] += 1
+    assert max(df.values()) > 2 * nj.COMMON and len(got) == 400 and len(sent) < 400
+    for r in got:
+        s = sets[r["doc_id"]].tolist()
+        shared = sorted((df[x], x) for x in s if df[x] > 1)
+        left = len(shared) - nj.needed(len(s)) + 1
+        assert r["n"] == len(s)
+        if left > 0 and r["doc_id"] in sent.values():
+            assert r["first"] == [x for _, x in shared[:left]] and np.frombuffer(r["tokens"], np.uint64).tolist() == sorted(x for _, x in shared)
+        else:
+            assert r["first"] is None and r["tokens"] is None
 
 
 def test_tree_prunes_nothing_linked():
