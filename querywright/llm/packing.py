@@ -13,6 +13,7 @@ and ``text`` are not read.  An empty table gives no sequences.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, ranked, small_batches
-from .tokens import crc_of, encoder, public_path
+from .tokens import encoder, public_path
 
 
 def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
@@ -143,18 +144,25 @@ def token_pieces(df: DataFrame, path: str, capacity: int, end_id: int, drops_spa
     def run(batches):
         enc = encoder(path, drops_space)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0), enc.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.array([end_id], ids.dtype)).astype("<u4")
-                first = len(ids) % capacity or capacity
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    for c, v in zip(cols, (doc.as_py(), k, a, b - a, crc_of(ids[a:b]), ids[a:b].tobytes() if with_ids else None), strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:n], kinds, strict=False)], names[:n])
+            if not batch.num_rows:
+                continue
+            ids = enc.encode(batch.column(1))
+            end = np.array([end_id], ids[0].dtype)
+            flat = np.concatenate([x for doc in ids for x in (doc, end)]).astype("<u4")
+            size = np.array([len(x) + 1 for x in ids], np.int64)
+            many = -(-size // capacity)
+            doc = np.repeat(np.arange(len(ids)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            first = ((size - 1) % capacity + 1)[doc]
+            start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first)
+            at = ((np.cumsum(size) - size)[doc] + start) * 4
+            raw = memoryview(flat).cast("B")
+            bodies = [raw[a : a + n] for a, n in zip(at.tolist(), (length * 4).tolist(), strict=True)]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, bodies)), pa.int64())]
+            if with_ids:
+                cols.append(pa.array(list(map(bytes, bodies)), pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 

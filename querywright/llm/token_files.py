@@ -9,13 +9,15 @@ A segment is one byte string: a header, the documents' ids and token counts, the
 Segments are rows of a table that Spark's own writer commits, in ascending ``doc_id`` order, so any
 store that Spark can write will do and lost tasks leave nothing behind.
 
-Null texts are empty (the end id alone).  Repeated doc_ids are kept, ordered by their bytes.
-An empty table gives an empty file.
+Null texts are empty (the end id alone).  Repeated doc_ids are kept, ordered by their bytes; rows
+without one come first.  An empty table gives an empty file.  Columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -107,15 +109,21 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int, drops_space: b
     # Ranges of doc_id from quantiles of that column alone, so that no text is encoded twice.
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     steps = [k / parts for k in range(1, parts)]
-    bounds = np.unique(np.array(df.agg(F.percentile_approx("doc_id", steps, 100 * parts)).first()[0] or [], np.int64))
+    known = df.agg(F.percentile_approx("doc_id", steps, 100 * parts), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    bounds = np.unique(np.array(known[0] or [], np.int64))
+    # Rows without a doc_id come before all others, dealt to parts of their own.
+    free = parts if known[1] else 0
 
     def tokenise(batches):
         enc = encoder(path, drops_space)
         for b in batches:
             part = np.searchsorted(bounds, b.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-            ids = [np.append(x, np.array([end_id], x.dtype)) for x in enc.encode(b.column(1).to_pylist())]
-            wide = ids[0].dtype.itemsize if ids else 2
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([wide] * len(ids), pa.int32()), pa.array(part)], ["doc_id", "ids", "wide", "part"])
+            end = np.array([end_id], enc.dtype).tobytes()
+            ids = [x.tobytes() + end for x in enc.encode(b.column(1))]
+            part += free
+            for i in np.flatnonzero(b.column(0).is_null().to_numpy(zero_copy_only=False)).tolist():
+                part[i] = zlib.crc32(ids[i]) % free
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([enc.dtype.itemsize] * len(ids), pa.int32()), pa.array(part)], ["doc_id", "ids", "wide", "part"])
 
     def segments(batches):
         docs: list = []
@@ -140,7 +148,8 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int, drops_space: b
             yield flush()
 
     tokens = df.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, wide int, part int")
-    dealt = tokens.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    # Task k has part k, so the files are in the order of doc_id too.
+    dealt = tokens.repartitionById(free + len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     dealt.mapInArrow(segments, "part int, number int, tokens long, segment binary").write.option("compression", "uncompressed").parquet(out)
 
 

@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public tokenizer, with a bounded memory of chunks seen before.
 
 A text is cut only where the tokenizer's own pre-tokenizer must cut, whatever stands on either side,
-so the ids of the chunks in a row are the ids of the text.
+so the ids of the chunks in a row are the ids of the text.  A chunk not seen before is cut into the
+pre-tokenizer's pieces, whose ids the tokenizer's model gives; one with rare characters or a special
+token goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -9,113 +11,207 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # A byte-level tokenizer that keeps spaces starts a new piece at a space between two marks.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+# Printable Latin characters, and line ends between them: the classes of these are the same in any version of Unicode.
+_SEEN = "!-~¡-¬®-ɏ"
+_PLAIN = re.compile(rf" ?[{_SEEN}](?:[{_SEEN}\n]*[{_SEEN}])?")
+#: The pieces of the two pre-tokenizers, as their files and their library give them.
+PIECES = {
+    False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    True: r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that a byte-level model has for each byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class Table(dict):
+    """Numbers of strings, and the ids of each number.  What is common comes early and stays; beyond ``most``
+    a string is known until ``trim`` only."""
+
+    def __init__(self, dtype: np.dtype, most: int):
+        self.most, self.n, self.new, self.extra = most, 0, [], {}
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def __missing__(self, key: str) -> int:
+        if key in self.extra:
+            return self.extra[key]
+        (self if len(self) < self.most else self.extra)[key] = self.n
+        self.new.append(key)
+        self.n += 1
+        return self.n - 1
+
+    def numbers(self, keys, count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, count)
+
+    def add(self, lengths: np.ndarray, ids: np.ndarray, order: np.ndarray | None = None) -> None:
+        """The ids of the new strings, in ``order``; a length of -1 says that a string has none of its own."""
+        order = np.arange(len(lengths)) if order is None else order
+        # Ids of strings that are not kept lie beyond those of the others, and are written over by later ones.
+        used = int((self.start + np.maximum(self.length, 0)).max(initial=0))
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used + 2 * len(ids), self.flat.dtype)])
+        self.flat[used : used + len(ids)] = ids
+        n = np.maximum(lengths, 0)[order]
+        start = np.empty(len(lengths), np.int64)
+        start[order] = used + np.cumsum(n) - n
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, lengths])
+        self.new = []
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of numbers, in a row."""
+        n = np.maximum(self.length[at], 0)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - n), n)]
+
+    def trim(self) -> None:
+        self.extra, self.n = {}, len(self)
+        self.start, self.length = self.start[: self.n], self.length[: self.n]
+
+
+def sums(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``n`` that have ``counts`` members."""
+    total = np.concatenate([[0], np.cumsum(n)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 class ChunkEncoder:
     """``drops_space``: the tokenizer discards white space, so any ASCII white space is a cut.
 
     Otherwise a key that starts with a space stands for what follows that space, and any other key
-    for itself after a space; one that has white space at an end is known as None, its text being cut
+    for itself after a space; one that has white space at an end has no ids, its text being cut
     with care."""
 
-    def __init__(self, path: str, drops_space: bool, most: int = 1_000_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space, self.most = drops_space, most
+        self.drops_space = drops_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes | None] = {}
-        # A mark that is always a piece, and one id, of its own between two chunks.
-        self.mark = "\x01" if drops_space else "\x0b"
-        self.between = f" {self.mark} " if drops_space else self.mark
-        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.mark_id = ids[0] if len(ids) == 1 else None
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def keys(self, text: str) -> list[str]:
-        if self.drops_space:
-            return re.split(r"[ \t\n\r]+", text) if "\x0b" in text or "\x0c" in text else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        keys = text.split(" ")
-        if len(keys) > 1 and keys[0][-1:].isspace():
-            return self.careful(text)
-        keys[0] = " " + keys[0]
-        return keys if keys[0] != " " else self.careful(text)
+        self.chunks, self.pieces = Table(self.dtype, most), Table(self.dtype, most)
+        self.find = regex.compile(PIECES[drops_space] + r"|\t").findall
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
+        self.letters = byte_letters()
+        # The same model on pieces that are cut already, with a mark of one id between them.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.pieces["\t"] = 0  # between chunks; of no ids
+        self.pieces.n = 1
+        self.pieces.add(np.zeros(1, np.int64), np.zeros(0, self.dtype))
+        self.mark = chr(self.letters[1])
+        (self.mark_id,) = self.model.encode(self.mark).ids
 
     @staticmethod
     def careful(text: str) -> list[str]:
+        """Keys of a text that the tokenizer need not cut at every space."""
         return [" " + c for c in _CUT.split(text)] if text else []
 
-    def literal(self, key: str) -> str:
-        return key if self.drops_space else key[1:] if key[0] == " " else " " + key
-
-    def _plain(self, key: str) -> bool:
-        """Whether a mark on either side of the key's literal leaves its ids as they are."""
-        if not key or self.mark in key or any(s in key for s in self.specials):
-            return False
-        text = key if self.drops_space or key[0] != " " else key[1:]
-        return bool(text) and not text[0].isspace() and not text[-1].isspace()
-
-    def fresh(self, new: list[str]) -> dict[str, bytes | None]:
-        """The ids of keys not known: many as one text with marks between them, the odd ones alone."""
-        found: dict[str, bytes | None] = {}
-        plain, odd = [], []
-        for key in new:
-            if self.mark_id is not None and self._plain(key):
-                plain.append(key)
-            elif self.drops_space or key and (key[0] == " " or not (key[0].isspace() or key[-1].isspace())):
-                odd.append(key)
-            else:
-                found[key] = None
-        size = self.dtype.itemsize
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(map(self.literal, part))], add_special_tokens=False)[0].ids, self.dtype)
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(part) - 1:
-                odd += part
+    def learn_pieces(self) -> None:
+        """Ids of the pieces that are not known, which have no control characters."""
+        new = self.pieces.new
+        letters = " ".join(new).encode().decode("latin-1").translate(self.letters | {32: 32}) if self.drops_space else "\t".join(new).encode().decode("latin-1").translate(self.letters | {9: 32})
+        ids = np.array(self.model.encode_batch_fast([letters.replace(" ", f" {self.mark} ")], add_special_tokens=False)[0].ids, self.dtype)
+        marks = ids == self.mark_id
+        at = np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])
+        self.pieces.add(np.diff(at) - 1, ids[~marks])
+
+    def learn_chunks(self) -> None:
+        """Ids of the keys that are not known."""
+        new = self.chunks.new
+        plain = list(map(_PLAIN.fullmatch, new))
+        if self.special("\t".join(new)):
+            plain = [m and not self.special(k) for k, m in zip(new, plain, strict=True)]
+        # Keys that follow a space, keys that stand for themselves, and those that go through the whole tokenizer.
+        first = [False] * len(new) if self.drops_space else [k[:1] == " " for k in new]
+        kind = np.where(np.array([m is None or m is False for m in plain], bool), 2, np.array(first, bool).astype(np.int64))
+        lengths = np.zeros(len(new), np.int64)
+        found: list[str] = []
+        spaced, own, odd = (np.flatnonzero(kind == k).tolist() for k in range(3))
+        if spaced:
+            text = "\t".join([new[k] for k in spaced]) if self.drops_space else " " + "\t ".join([new[k] for k in spaced])
+            if self.drops_space:
+                text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text.replace("\t", "\x01")).replace("\x01", "\t")
+            found += self.find(text)
+            found.append("\t")
+        if own:
+            found += self.find("\t".join([new[k][1:] for k in own]))
+            found.append("\t")
+        numbers = self.pieces.numbers(found, len(found))
+        if self.pieces.new:
+            self.learn_pieces()
+        size = np.diff(np.concatenate([[0], np.cumsum(self.pieces.length[numbers])[numbers == 0]]))
+        ids = [self.pieces.gather(numbers)]
+        self.pieces.trim()
+        for k in odd:
+            key = new[k]
+            if not self.drops_space and (not key or key[0] != " " and (key[0].isspace() or key[-1].isspace())):
+                lengths[k] = -1
                 continue
-            raw = ids.tobytes()
-            starts = [0, *((at + 1) * size).tolist()]
-            ends = [*(at * size).tolist(), len(raw)]
-            found.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
-        for i in range(0, len(odd), 10_000):
-            part = odd[i : i + 10_000]
-            for key, e in zip(part, self.tokenizer.encode_batch_fast([self.literal(k) for k in part], add_special_tokens=False), strict=True):
-                found[key] = np.array(e.ids, self.dtype).tobytes()
-        return found
-
-    def _lookup(self, cut: list[list[str]]) -> dict[str, bytes | None]:
-        seen = set().union(*cut)
-        new = self.fresh(list(seen - self.known.keys()))
-        if len(self.known) + len(new) <= self.most:
-            self.known.update(new)
-            return self.known
-        # Full: what is common came early and stays; the new ones serve this batch alone.
-        known = self.known
-        return {k: known[k] for k in seen & known.keys()} | new
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            text = key if self.drops_space else key[1:] if key[0] == " " else " " + key
+            ids.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
+            lengths[k] = len(ids[-1])
+        at = np.array(spaced + own, np.int64)
+        lengths[at] = size
+        self.chunks.add(lengths, np.concatenate(ids), np.concatenate([at, np.array(odd, np.int64)]))
+
+    def encode_keys(self, cut: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts cut into keys that have ids."""
+        counts = np.array([len(k) for k in cut], np.int64)
+        numbers = self.chunks.numbers(chain.from_iterable(cut), int(counts.sum()))
+        if self.chunks.new:
+            self.learn_chunks()
+        return np.split(self.chunks.gather(numbers), np.cumsum(sums(self.chunks.length[numbers], counts))[:-1])
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text, without special tokens; null is an empty text."""
-        cut = [self.keys(t) if t else [] for t in texts]
-        known = self._lookup(cut)
-        out, again = [], []
-        for i, keys in enumerate(cut):
-            try:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, keys)), self.dtype))
-            except TypeError:
-                out.append(None)
-                again.append(i)
-        if again:
-            careful = [self.careful(texts[i]) for i in again]
-            known = self._lookup(careful)
-            for i, keys in zip(again, careful, strict=True):
-                out[i] = np.frombuffer(b"".join(map(known.__getitem__, keys)), self.dtype)
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return []
+        column = column.fill_null("")
+        lists = pc.ascii_split_whitespace(column) if self.drops_space else pc.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        counts = np.diff(lists.offsets.to_numpy())
+        numbers = self.chunks.numbers(names, len(names))[at]
+        apart: dict[int, list[str]] = {}
+        if self.drops_space:
+            odd = pc.or_(pc.match_substring(column, "\x0b"), pc.match_substring(column, "\x0c"))
+            apart = {i: re.split(r"[ \t\n\r]+", column[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        else:
+            # The first word of a text has no space before it.
+            begin = np.cumsum(counts) - counts
+            for i, (k, n) in enumerate(zip(begin.tolist(), counts.tolist(), strict=True)):
+                word = names[at[k]]
+                if not word or n > 1 and word[-1].isspace():
+                    apart[i] = self.careful(column[i].as_py())
+                else:
+                    numbers[k] = self.chunks[" " + word]
+        if self.chunks.new:
+            self.learn_chunks()
+        length = self.chunks.length[numbers]
+        for i in np.flatnonzero(sums(length < 0, counts)).tolist():
+            if i not in apart:
+                apart[i] = self.careful(column[i].as_py())
+        out = np.split(self.chunks.gather(numbers), np.cumsum(sums(np.maximum(length, 0), counts))[:-1])
+        if apart:
+            for i, ids in zip(apart, self.encode_keys(list(apart.values())), strict=True):
+                out[i] = ids
+        self.chunks.trim()
         return out
 
 
