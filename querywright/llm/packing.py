@@ -4,7 +4,7 @@ A piece's place depends on its length alone, and there are at most ``capacity``
 driver packs the histogram of lengths (bounded by the capacity, whatever the corpus): bins with the
 same content form one pattern with a multiplicity.  Best fit decreasing opens patterns; local search
 then moves items, or exchanges one for one, two for one or one for two, from emptier to fuller
-patterns, each step raising the sum of squared fills, until emptier ones run dry.  Pieces get their
+patterns, each step raising the sum of squared fills, until no two patterns allow an exchange.  Pieces get their
 places by their rank among pieces of equal length.
 
 Null texts are empty (one end token).  Repeated rows are packed once each.  Columns besides ``doc_id``
@@ -52,70 +52,108 @@ def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return [x for at in open_.values() for x in at]
 
 
-def _exchange(low: Counter, high: Counter, room: int, lead: int) -> tuple[Counter, Counter] | None:
-    """What to move from the emptier bin to the fuller one, and back, that raises the fuller one most.
-
-    ``lead`` is how much fuller it is; any gain d with 1 <= d <= room raises the sum of squares."""
-    gives = [(a,) for a in low] + [(a, b) for a in low for b in low if a < b or a == b and low[a] > 1]
-    takes: list[tuple] = [()] + [(b,) for b in high] + [(a, b) for a in high for b in high if a < b or a == b and high[a] > 1]
-    totals = np.array([sum(t) for t in takes])
-    order = np.argsort(totals, kind="stable")
-    best = None
-    for g in gives:
-        # the smallest return that leaves the gain within the room
-        at = np.searchsorted(totals[order], sum(g) - room)
-        while at < len(order):
-            t = takes[order[at]]
-            gain = sum(g) - sum(t)
-            if gain <= 0:
-                break
-            if len(g) + len(t) <= 3 and (gain > -lead):
-                if best is None or gain > best[0]:
-                    best = (gain, Counter(g), Counter(t))
-                break
-            at += 1
-    return best and best[1:]
-
-
-def _improve(pool: list[list], under: list[list], lows: list[list], part: slice, capacity: int) -> bool:
-    """Make the first exchange found between one of ``lows`` and a part of the fuller patterns."""
-    for low in lows:
-        for high in sorted((p for p in under if p[2] >= low[2] and (p is not low or p[1] > 1)), key=lambda p: -p[2])[part]:
-            times = min(low[1], high[1]) if high is not low else low[1] // 2
-            if not times or not (found := _exchange(low[0], high[0], capacity - high[2], high[2] - low[2])):
-                continue
-            give, take = found
-            gain = sum(give.elements()) - sum(take.elements())
-            a, b = low[0] - give + take, high[0] - take + give
-            low[1] -= times
-            high[1] -= times
-            pool += [[a, times, low[2] - gain], [b, times, high[2] + gain]]
-            return True
-    return False
-
-
-def local_search(bins: list[tuple[Counter, int]], capacity: int, rounds: int = 2000) -> list[tuple[Counter, int]]:
-    """Empty the least filled patterns into others; ``rounds`` bounds the effort, not the data."""
+class Patterns:
+    """Patterns of the search, and all that each can give back: nothing, an item or two."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.items: list[Counter] = []
+        self.times: list[int] = []
+        self.fill: list[int] = []
+        self.seen: list[int] = []
+        self.known: dict[tuple, int] = {}
+        self.takes: list[tuple] = []
+        self.n = 0
+        #: Of each return: its sum and number of items, and the pattern.
+        self.total, self.size, self.owner = (np.zeros(1024, np.int64) for _ in range(3))
+        #: Of each pattern: its fill, and whether it is in use (2: more than once).
+        self.full, self.alive = (np.zeros(1024, np.int64) for _ in range(2))
+
+    def add(self, items: Counter, times: int, fill: int) -> None:
+        key = tuple(sorted(items.items()))
+        k = self.known.get(key)
+        if k is None:
+            k = self.known[key] = len(self.items)
+            self.items.append(items)
+            self.times.append(0)
+            self.fill.append(fill)
+            self.seen.append(0)
+            takes = _few(items, [()]) if fill < self.capacity else []
+            while len(self.total) < self.n + len(takes):
+                self.total, self.size, self.owner = (np.concatenate([x, x]) for x in (self.total, self.size, self.owner))
+            while len(self.full) <= k:
+                self.full, self.alive = (np.concatenate([x, x]) for x in (self.full, self.alive))
+            at = slice(self.n, self.n + len(takes))
+            self.total[at], self.size[at], self.owner[at] = [sum(t) for t in takes], [len(t) for t in takes], k
+            self.takes += takes
+            self.n += len(takes)
+        if not self.times[k]:
+            # Again in use: others may have looked at it while it was not.
+            self.seen = [0 if not self.times[k] and self.fill[j] <= fill else x for j, x in enumerate(self.seen)]
+        if self.times[k] < 2 <= self.times[k] + times:
+            self.seen[k] = 0
+        self.times[k] += times
+        self.full[k], self.alive[k] = fill, min(2, self.times[k])
+
+    def remove(self, k: int, times: int) -> None:
+        self.times[k] -= times
+        self.alive[k] = min(2, self.times[k])
+
+    def best(self, low: int) -> tuple[int, tuple, tuple] | None:
+        """Of what raises a fuller pattern and empties ``low``, what moves most: (pattern, given, returned)."""
+        at = np.arange(self.seen[low], self.n)
+        own = self.owner[at]
+        room = self.capacity - self.full[own]
+        ok = (self.full[own] >= self.fill[low]) & (room > 0) & (self.alive[own] > (own == low))
+        at, room = at[ok], room[ok]
+        total, size = self.total[at], self.size[at]
+        found = None
+        for give in _few(self.items[low], []):
+            gain = sum(give) - total
+            ok = np.flatnonzero((gain > 0) & (gain <= room) & (size + len(give) <= 3))
+            if len(ok):
+                k = ok[np.lexsort((room[ok], -gain[ok]))[0]]
+                if found is None or (gain[k], -room[k]) > found[0]:
+                    found = ((gain[k], -room[k]), int(self.owner[at[k]]), give, self.takes[at[k]])
+        if found is None:
+            self.seen[low] = self.n
+        return found and found[1:]
+
+
+def _few(items: Counter, none: list[tuple]) -> list[tuple]:
+    """One or two of some items."""
+    return none + [(a,) for a in items] + [(a, b) for a in items for b in items if a < b or a == b and items[a] > 1]
+
+
+def local_search(bins: list[tuple[Counter, int]], capacity: int) -> list[tuple[Counter, int]]:
+    """Empty patterns into fuller ones, the emptiest first, until no exchange is left or no sequence can be saved.
+
+    Each exchange raises the sum of squared fills, so the search ends."""
     total = sum(s * n * m for items, m in bins for s, n in items.items())
     least = -(-total // capacity)
-    pool = [[items, m, sum(s * n for s, n in items.items())] for items, m in bins]
-    while rounds and sum(p[1] for p in pool) > least:
-        rounds -= 1
-        pool = [p for p in pool if p[1] and p[2]]
-        under = sorted((p for p in pool if p[2] < capacity), key=lambda p: p[2])
+    pool = Patterns(capacity)
+    for items, m in bins:
+        pool.add(items, m, sum(s * n for s, n in items.items()))
+    count = sum(pool.times)
+    moved = True
+    while moved and count > least:
         moved = False
-        # The emptiest against the fullest first; if that gives nothing, all other pairs.
-        for first, last, least_full, most_full in ((0, 16, 0, 200), (0, 16, 200, None), (16, None, 0, None)):
-            moved = _improve(pool, under, under[first:last], slice(least_full, most_full), capacity)
-            if moved:
-                break
-        if not moved:
-            break
-    merged: Counter = Counter()
-    for items, m, fill in pool:
-        if m and fill:
-            merged[tuple(sorted(items.items(), reverse=True))] += m
-    return [(Counter(dict(k)), m) for k, m in sorted(merged.items(), reverse=True)]
+        for low in sorted((k for k, m in enumerate(pool.times) if m and pool.fill[k] < capacity), key=lambda k: pool.fill[k]):
+            while pool.times[low] and count > least and (found := pool.best(low)):
+                high, give, take = found
+                times = min(pool.times[low], pool.times[high]) if high != low else pool.times[low] // 2
+                gain = sum(give) - sum(take)
+                a, b = pool.items[low] - Counter(give) + Counter(take), pool.items[high] - Counter(take) + Counter(give)
+                fill = pool.fill[low] - gain, pool.fill[high] + gain
+                pool.remove(low, times)
+                pool.remove(high, times)
+                if fill[0]:
+                    pool.add(a, times, fill[0])
+                else:
+                    count -= times
+                pool.add(b, times, fill[1])
+                moved = True
+    return sorted(((items, m) for items, m in zip(pool.items, pool.times, strict=True) if m), key=lambda x: sorted(x[0].items(), reverse=True), reverse=True)
 
 
 def pack_histogram(sizes: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
