@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from querywright.llm import batch_counts as bc
 from querywright.llm import ngram_join as nj
 from querywright.llm import quality, suffix_dedup, toxicity
 from querywright.llm.common import Scratch, components
@@ -124,23 +125,23 @@ def test_counts_come_back():
     texts = [" ".join(rng.choice(WORDS[:6]) for _ in range(rng.choice([3, 9, 30]))) + " and so say all of us" * (k % 3 > 0) for k in range(400)]
     heads, parts, senders = {}, defaultdict(list), []
     for part in range(2):
-        to = nj.Sender(part, 4)
+        to = bc.Sender(part, 4, True)
         for k, t in enumerate(texts[part::2]):
-            to.add(2 * k + part, t)
+            to.add(2 * k + part, *nj.sized_shingles(t))
         senders.append(to.flush())
     for s in range(4):
         rows = [r for b in senders for r in b.to_pylist() if r["slice"] == s]
         heads |= {r["batch"]: r["body"] for r in rows if r["kind"] == 0}
-        for batch, _, body in nj.counted([(r["batch"], r["body"]) for r in rows if r["kind"]]):
-            parts[batch].append(nj.unpacked(body))
-    got = [r for batch, head in heads.items() for r in nj.gathered(nj.unpacked(head), parts[batch]).to_pylist()]
+        for batch, _, body in bc.counted([(r["batch"], r["body"]) for r in rows if r["kind"]]):
+            parts[batch].append(bc.unpacked(body))
+    got = [r for batch, head in heads.items() for r in nj.gathered(bc.unpacked(head), parts[batch]).to_pylist()]
     sets = [nj.shingles(t) for t in texts]
     sent = {(k % 2, s.tobytes()): k for k, s in reversed(list(enumerate(sets)))}
     df = defaultdict(int)
     for k in sent.values():
         for x in sets[k].tolist():
             df[x] += 1
-    assert max(df.values()) > 2 * nj.COMMON and len(got) == 400 and len(sent) < 400
+    assert max(df.values()) > 2 * bc.COMMON and len(got) == 400 and len(sent) < 400
     for r in got:
         s = sets[r["doc_id"]].tolist()
         shared = sorted((df[x], x) for x in s if df[x] > 1)
