@@ -34,17 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batch_counts import regrouped, shared_tokens
-from .common import Scratch, components, documents, mixed
+from .common import Scratch, components, distinct, documents, mixed
 
 WORDS, GROUPS = 5, 512
 _PLACES = mixed(np.arange(64) + 77) | np.uint64(1)
 
 
-def distinct(h: np.ndarray) -> np.ndarray:
-    h = np.sort(h)
-    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
-
-
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 56-bit hashes of the shingles of a text; of one with fewer words, of all its words as one."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()

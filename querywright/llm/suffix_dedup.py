@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, mixed, small_batches
+from .batch_counts import batch_slices, gaps, joined_gaps, narrow, packed, planes, regrouped, shared_tokens, starts, unpacked
+from .common import Scratch, distinct, documents, mixed, small_batches
 
 SPAN, GRAM = 50, 16
 #: Bytes of a text whose anchors are found at a time; places in it take 24 bits.
@@ -200,74 +201,22 @@ def shared_windows(strings: list[bytes], holders: np.ndarray) -> tuple[np.ndarra
     return np.where(last < 0, 0, first), last
 
 
-def _packed(docs: np.ndarray, buckets: int, t: np.ndarray, *columns: np.ndarray):
-    """Rows grouped by bucket of t: yields (bucket, selection)."""
-    bucket = (t % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            yield k, order[a:b]
+def text_anchors(text: str | None) -> tuple[int, bytes, np.ndarray]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return len(raw), b"", distinct(anchors(np.frombuffer(raw, np.uint8))[0] >> np.uint64(8))
 
 
-def shared_anchors(df: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, anchors): the anchors of a document that others have too, as packed 8-byte numbers."""
-    small_batches(df.sparkSession)
+def own_anchors(head: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    docs = head[0]
+    t, n = regrouped(head, parts)
+    ends = np.cumsum(n)
+    has = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(docs[has]), pa.array([packed(*gaps(np.sort(t[e - k : e]))) for e, k in zip(ends[has].tolist(), n[has].tolist(), strict=True)], pa.binary())], ["doc_id", "anchors"])
 
-    def send(batches):
-        def flush(held):
-            t = np.concatenate([a for _, a in held])
-            docs = np.repeat(np.array([d for d, _ in held], np.int64), [len(a) for _, a in held])
-            low = int(docs.min())
-            wide = "<u4" if int(docs.max()) - low < 1 << 32 else "<u8"
-            rows = []
-            for k, at in _packed(docs, buckets, t):
-                rest = t[at] // np.uint64(buckets)
-                rows.append((k, rest.astype("<u4").tobytes() + (rest >> np.uint64(32)).astype("<u2").tobytes(), (docs[at] - low).astype(wide).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([low] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "low", "rest", "docs"])
 
-        held, n = [], 0
-        for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if d is None or len(raw) < SPAN:
-                    continue
-                # 56 bits of the hash, of which the bucket takes at least 8: the rest fits 48.
-                held.append((d, np.unique(anchors(np.frombuffer(raw, np.uint8))[0] >> np.uint64(8))))
-                n += len(held[-1][1])
-                if n >= 2_000_000:
-                    yield flush(held)
-                    held, n = [], 0
-        if held:
-            yield flush(held)
-
-    def meet(batches):
-        ts, docs = [], []
-        for b in batches:
-            for k, low, r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                r, d = r.as_buffer(), d.as_buffer()
-                n = len(r) // 6
-                rest = np.frombuffer(r, "<u4", n).astype(np.uint64) | (np.frombuffer(r, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
-                ts.append(rest * np.uint64(buckets) + np.uint64(k))
-                docs.append(np.frombuffer(d, f"<u{len(d) // n}").astype(np.int64) + low)
-        if not ts:
-            return
-        t, docs = np.concatenate(ts), np.concatenate(docs)
-        order = np.argsort(t, kind="stable")
-        t, docs = t[order], docs[order]
-        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(np.concatenate([begin, [len(t)]]))
-        several = np.repeat(np.minimum.reduceat(docs, begin) != np.maximum.reduceat(docs, begin), size)
-        t, docs = t[several], docs[several]
-        order = np.argsort(docs, kind="stable")
-        t, docs = t[order], docs[order]
-        cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-        ends = np.concatenate([cuts[1:], [len(docs)]])
-        for i in range(0, len(cuts), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(docs[cuts[i : i + 10_000]]), pa.array([t[a:b].tobytes() for a, b in zip(cuts[i : i + 10_000], ends[i : i + 10_000], strict=True)], pa.binary())], ["doc_id", "anchors"])
-
-    sent = df.select("doc_id", "text").mapInArrow(send, "bucket int, low long, rest binary, docs binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, anchors binary")
+def shared_anchors(df: DataFrame) -> DataFrame:
+    """(doc_id, anchors): the anchors of each document that other rows have too."""
+    return shared_tokens(df, text_anchors, own_anchors, "doc_id long, anchors binary")
 
 
 def squeezed(df: DataFrame) -> DataFrame:
@@ -290,14 +239,13 @@ def text_key(raw: bytes) -> int:
 
 
 def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text_key, runs): first and last window, as packed 8-byte numbers, of runs of windows to remove.
+    """(doc_id, text_key, runs): first and last window, as packed 4-byte numbers, of runs of windows to remove.
 
     The key is 0 where a doc_id has one row only."""
-    spark = df.sparkSession
-    buckets = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = shared_anchors(df, buckets).groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    shared = shared_anchors(df).groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     repeats = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("several"))
     shared = shared.join(repeats, "doc_id", "left")
+    slices = np.uint64(batch_slices(df.sparkSession))
 
     def send(batches):
         import zstandard
@@ -305,26 +253,40 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
 
         def flush(held):
-            t, docs, keys, first, sizes = (np.concatenate([h[k] for h in held]) for k in range(5))
-            bodies = [s for h in held for s in h[5]]
-            rows = []
-            for k, at in _packed(docs, buckets, t):
-                at = at[np.lexsort((sizes[at], t[at]))]  # equal runs side by side, to compress well
-                rows.append((k, *map(pack, (t[at].tobytes(), docs[at].tobytes(), keys[at].tobytes(), first[at].tobytes(), sizes[at].astype("<u2").tobytes(), b"".join([bodies[i] for i in at])))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7)]], ["bucket", "t", "docs", "keys", "first", "sizes", "bodies"])
+            t, docs, keys, first = (np.concatenate([h[k] for h in held]) for k in range(4))
+            # Equal runs of one anchor are sent once.
+            number: dict[tuple, int] = {}
+            kind = np.fromiter((number.setdefault(x, len(number)) for h in held for x in zip(h[0].tolist(), h[4], strict=True)), np.int64, len(t))
+            runs = list(number)
+            anchor = np.array([r[0] for r in runs], np.uint64)
+            order = np.lexsort((np.array([len(r[1]) for r in runs]), anchor))
+            place = np.empty(len(runs), np.int64)
+            place[order] = np.arange(len(runs))
+            by = np.argsort(place[kind], kind="stable")
+            docs, keys, first = docs[by], keys[by], first[by]
+            anchor, many = anchor[order], np.bincount(kind, minlength=len(runs))[order]
+            ends = np.concatenate([[0], np.cumsum(many)])
+            piece = ((anchor >> np.uint64(24)) * slices >> np.uint64(32)).astype(np.int64)
+            cuts = np.append(starts(piece), len(piece)).tolist()
+            low, rows = int(docs.min()), []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                bodies = [runs[i][1] for i in order[a:b].tolist()]
+                at = slice(ends[a], ends[b])
+                meta = packed(*gaps(anchor[a:b]), narrow(np.array(list(map(len, bodies)))), narrow(many[a:b]), *planes(docs[at] - low), keys[at], *planes(first[at]))
+                rows.append((int(piece[a]), meta, pack(b"".join(bodies))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([low] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], ["slice", "low", "meta", "bodies"])
 
         held, n = [], 0
         for b in batches:
             for d, z, lists, several in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 raw = unpack(z.as_buffer())
-                x = np.frombuffer(raw, np.uint8)
-                h, first, last = anchors(x)
+                h, first, last = anchors(np.frombuffer(raw, np.uint8))
                 t = h >> np.uint64(8)
-                hit = np.isin(t, np.frombuffer(b"".join(lists), np.uint64))
+                hit = np.isin(t, np.concatenate([joined_gaps(*unpacked(x)) for x in lists]))
                 if hit.any():
                     t, first, last = t[hit], first[hit], last[hit]
                     bodies = [raw[a : e + SPAN] for a, e in zip(first.tolist(), last.tolist(), strict=True)]
-                    held.append((t, np.full(len(t), d, np.int64), np.full(len(t), text_key(raw) if several else 0, np.int64), first, last - first + SPAN, bodies))
+                    held.append((t, np.full(len(t), d, np.int64), np.full(len(t), text_key(raw) if several else 0, np.int64), first, bodies))
                     n += len(t)
                 if n >= 500_000:
                     yield flush(held)
@@ -336,32 +298,64 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        ts, docs, keys, firsts, shard, bodies = [], [], [], [], [], []
-        for batch in batches:
-            for row in zip(*batch.columns[1:], strict=True):
-                t, d, key, f, n, body = (unpack(v.as_buffer()) for v in row)
-                sizes = np.frombuffer(n, "<u2").astype(np.int64)
-                ends = np.cumsum(sizes)
-                bodies += [body[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                ts.append(np.frombuffer(t, np.uint64))
-                docs.append(np.frombuffer(d, np.int64))
-                keys.append(np.frombuffer(key, np.int64))
-                firsts.append(np.frombuffer(f, np.int64))
-                shard.append(np.full(len(sizes), len(shard)))
-        if ts:
-            yield from resolve(*(np.concatenate(x) for x in (ts, docs, keys, firsts, shard)), bodies)
+        done: list[tuple] = []
+
+        def settle(rows):
+            ts, docs, keys, firsts, shard, kinds, bodies = [], [], [], [], [], [], []
+            for low, meta, body in rows:
+                t_low, t_high, sizes, many, d_low, d_high, key, f_low, f_high = unpacked(meta)
+                body, many = unpack(body), many.astype(np.int64)
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                kinds.append(np.repeat(np.arange(len(sizes)) + len(bodies), many))
+                bodies += [body[a:e] for a, e in zip([0, *ends], ends, strict=False)]
+                ts.append(np.repeat(joined_gaps(t_low, t_high), many))
+                docs.append((d_low.astype(np.int64) | d_high.astype(np.int64) << 8) + low)
+                keys.append(key)
+                firsts.append(f_low.astype(np.int64) | f_high.astype(np.int64) << 8)
+                shard.append(np.full(len(key), len(shard)))
+            done.append(resolve(*(np.concatenate(x) for x in (ts, docs, keys, firsts, shard, kinds)), bodies))
+
+        rows, now = [], None
+        for b in batches:
+            for piece, low, meta, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if piece != now and rows:
+                    settle(rows)
+                    rows = []
+                    if sum(len(x[0]) for x in done) >= 1_000_000:
+                        yield from by_document(done)
+                        done = []
+                now = piece
+                rows.append((low, meta, body))
+        if rows:
+            settle(rows)
+        yield from by_document(done)
 
     texts = squeezed(df.where("doc_id is not null")).join(shared, "doc_id")
-    sent = texts.mapInArrow(send, "bucket int, t binary, docs binary, keys binary, first binary, sizes binary, bodies binary")
-    runs = sent.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, text_key long, runs binary")
+    sent = texts.mapInArrow(send, "slice int, low long, meta binary, bodies binary")
+    runs = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "doc_id long, text_key long, runs binary")
     return scratch.save(runs, "runs")
 
 
-def resolve(t, docs, keys, first, shard, bodies):
-    """Batches (doc_id, text_key, runs) of windows that stand in smaller documents, among runs of known anchors."""
+def by_document(found: list[tuple]):
+    """Batches (doc_id, text_key, runs) of removed windows (documents, keys, first, last)."""
+    if not found:
+        return
+    d, key, a, b = (np.concatenate([f[k] for f in found]) for k in range(4))
+    order = np.lexsort((key, d))
+    d, key = d[order], key[order]
+    runs = np.stack([a[order], b[order]], 1).astype("<u4")
+    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (key[1:] != key[:-1])])) if len(d) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(d))
+    for i in range(0, len(cuts), 10_000):
+        part = slice(i, i + 10_000)
+        yield pa.RecordBatch.from_arrays([pa.array(d[cuts[part]]), pa.array(key[cuts[part]]), pa.array([runs[x:y].tobytes() for x, y in zip(cuts[part].tolist(), ends[part].tolist(), strict=True)], pa.binary())], ["doc_id", "text_key", "runs"])
+
+
+def resolve(t, docs, keys, first, shard, kinds, bodies) -> tuple[np.ndarray, ...]:
+    """(documents, keys, first, last) of windows that stand in smaller documents, among runs of known anchors."""
     # Equal runs are one string, held by its smallest document.
     number: dict[bytes, int] = {}
-    kind = np.fromiter((number.setdefault(b, len(number)) for b in bodies), np.int64, len(bodies))
+    kind = np.fromiter((number.setdefault(b, len(number)) for b in bodies), np.int64, len(bodies))[kinds]
     strings = list(number)
     holder = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(holder, kind, docs)
@@ -420,21 +414,14 @@ def resolve(t, docs, keys, first, shard, bodies):
         out_key.append(keys[at])
         out_a.append(first[at] + lo[rep])
         out_b.append(first[at] + hi[rep])
-    d, key, a, b = (np.concatenate(x) for x in (out_doc, out_key, out_a, out_b))
-    order = np.lexsort((key, d))
-    d, key, a, b = d[order], key[order], a[order], b[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (key[1:] != key[:-1])])) if len(d) else np.zeros(0, np.int64)
-    ends = np.concatenate([cuts[1:], [len(d)]])
-    for i in range(0, len(cuts), 10_000):
-        part = list(zip(cuts[i : i + 10_000], ends[i : i + 10_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(d[cuts[i : i + 10_000]]), pa.array(key[cuts[i : i + 10_000]]), pa.array([np.stack([a[x:y], b[x:y]], 1).tobytes() for x, y in part], pa.binary())], ["doc_id", "text_key", "runs"])
+    return tuple(np.concatenate(x) for x in (out_doc, out_key, out_a, out_b))
 
 
 def kept_bytes(raw: bytes, lists: list[bytes] | None) -> tuple[bytes, int, int]:
     """What is left of a text, and how many bytes went in how many spans."""
     if not lists:
         return raw, 0, 0
-    runs = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2)
+    runs = np.frombuffer(b"".join(lists), "<u4").reshape(-1, 2).astype(np.int64)
     edge = np.zeros(len(raw) + 1, np.int64)
     np.add.at(edge, runs[:, 0], 1)
     np.add.at(edge, runs[:, 1] + SPAN, -1)
