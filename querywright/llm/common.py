@@ -94,6 +94,10 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Names of columns that ``ranked`` makes for a while; its caller must drop those of its input.
+RANKED = ("_p", "_i", "_p2", "_n", "_v", "_first", "_rows", "_sum")
+
+
 def ranked(df: DataFrame, scratch: Scratch, group: list[str], order: list[str], value: str | None = None) -> DataFrame:
     """Add ``rank`` (from 0) and, for ``value``, ``before`` (sum over earlier rows) within each group.
 

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, ranked
+from .common import RANKED, Scratch, documents, ranked
 
 WEIGHTS = (5, 2, 1)
+#: Names of columns that are made here, in part for a while only.
+USED = ("source_index", "name", "source_size", "target", "blocks", "turns", "short", "rank", "before", "row_key", "taken", "_h", *RANKED)
 #: 2**64 divided by the golden ratio, as an odd number.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -68,9 +70,11 @@ def schedule(spark: SparkSession, slots: list[int], scratch: Scratch) -> DataFra
 def mix(df: DataFrame, block: int = 1024, weights=WEIGHTS, most: float = 3, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with size, source_size, target, ``taken``; takes).
 
-    ``takes``: rows (row_key, slot, turn, first, last) saying that a slot takes words first..last-1 of a document.
+    ``takes``: rows (row_key, slot, turn, cycle, first, last) saying that a slot takes words first..last-1 of a
+    document; a cycle goes once through the source.  Columns of ``df`` that have names used here are replaced.
     """
     spark = df.sparkSession
+    df = df.drop(*USED)
     scratch = scratch or Scratch(spark)
     found = sorted(((r["source"], r["size"]) for r in df.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [s for _, s in found]
@@ -86,14 +90,14 @@ def mix(df: DataFrame, block: int = 1024, weights=WEIGHTS, most: float = 3, scra
     turns = turns.join(table.drop("name"), "source_index").withColumn("block", F.expr("turn % blocks"))
     # The last turn of a source may stop short within its block.
     turns = turns.withColumn("stop", F.expr(f"CASE WHEN turn = turns - 1 AND short > 0 THEN short ELSE {block} END"))
-    turns = turns.select("source_index", "block", "slot", "turn", "stop")
+    turns = turns.select("source_index", "block", "slot", "turn", F.expr("turn div blocks").alias("cycle"), "stop")
 
     docs = df.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumn("_h", F.xxhash64(F.lit("shuffle"), "doc_id"))
     docs = ranked(docs, scratch, ["source_index"], ["_h", "doc_id", "size"], "size").withColumn("row_key", F.struct("source_index", "rank"))
     spans = docs.where("size > 0").select("source_index", "row_key", "before", "size", F.explode(F.expr(f"sequence(before div {block}, (before + size - 1) div {block})")).alias("block"))
     spans = spans.withColumn("a", F.expr(f"greatest(before, block * {block})")).withColumn("b", F.expr(f"least(before + size, (block + 1) * {block})"))
     takes = spans.join(turns, ["source_index", "block"]).withColumn("b", F.expr(f"least(b, block * {block} + stop)")).where("b > a")
-    takes = takes.select("row_key", "slot", "turn", (F.col("a") - F.col("before")).alias("first"), (F.col("b") - F.col("before")).alias("last"))
+    takes = takes.select("row_key", "slot", "turn", "cycle", (F.col("a") - F.col("before")).alias("first"), (F.col("b") - F.col("before")).alias("last"))
     taken = takes.groupBy("row_key").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     out = docs.join(taken, "row_key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     return out.drop("name", "blocks", "turns", "short", "_h", "source_index", "rank", "before"), takes

@@ -7,7 +7,8 @@ linear scorer on hashed word shapes and binned statistics, fitted on about ``sam
 hash of doc_id from all rows; every text is scored whole.
 
 Null and empty texts have no words and are rejected with score 0.  Rows that repeat get equal scores.
-Columns besides doc_id and text are not read.  An empty table gives an empty result.
+Columns besides doc_id and text are carried along, but for ``score``, ``posterior`` and ``keep``, which are replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,25 +119,26 @@ def fit(df: DataFrame, sample: int = 20_000) -> tuple[LabelModel, np.ndarray, fl
 
     def learn(batches):
         rows, values, target = [], [], []
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                s = statistics(text)
-                if s["words"]:
-                    r, v = features(text, s)
-                    rows.append(r)
-                    values.append(v)
-                    target.append(votes(s))
+        # In an order of their own, so that reruns agree.
+        for text in sorted(t or "" for b in batches for t in b.column(0).to_pylist()):
+            s = statistics(text)
+            if s["words"]:
+                r, v = features(text, s)
+                rows.append(r)
+                values.append(v)
+                target.append(votes(s))
         p = model.posterior(np.array(target, np.int64).reshape(-1, len(LABELLERS)))
         w, b = train_linear(rows, values, p, np.ones(len(p)), 1 << BITS, rounds=400, shrink=1e-6)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], ["w", "b"])
 
-    # One task fits on the bounded sample; only the weights come back.
-    got = drawn.coalesce(1).mapInArrow(learn, "w binary, b double").first()
+    # One task fits on the bounded sample, which all tasks of the scan draw; only the weights come back.
+    got = drawn.repartition(1).mapInArrow(learn, "w binary, b double").first()
     return (model, np.frombuffer(got["w"]), got["b"]) if got else (model, np.zeros(1 << BITS), 0.0)
 
 
 def quality_scores(df: DataFrame, sample: int = 20_000, least: float = 0.5) -> DataFrame:
     """The rows of ``df`` with ``score`` (0 to 1, higher is better), ``posterior`` and ``keep``."""
+    df = df.drop("score", "posterior", "keep")
     model, w, b = fit(df, sample)
 
     def score(batches):

@@ -6,7 +6,7 @@ a reader can skip shards by their minima and maxima.  DataFrame functions only.
 
 Nulls quantise to cell 0.  Ties on the curve are ordered by the ``tie`` columns, so reruns agree up
 to rows that are equal in all of them.  An empty table gives an empty result.  Columns of the input
-with names used here must be dropped by the caller (the query selects what it needs).
+with names made here (``hilbert``, ``rank``, ``shard``, ``slot`` and inner ones) are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, ranked
+from .common import RANKED, Scratch, documents, ranked
 
 
 def string_code(c: Column, shared: int) -> Column:
@@ -74,6 +74,7 @@ def hilbert_index(q: str, dims: int, bits: int) -> Column:
 def hilbert_shards(df: DataFrame, dims: list[str], tie: list[str], shards: int = 16, bits: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """Rows with ``hilbert``, ``rank`` on the curve, ``shard`` (counts at most one apart) and ``slot``."""
     scratch = scratch or Scratch(df.sparkSession)
+    df = df.drop(*(c for c in ("q", "hilbert", "rank", "shard", "slot", *RANKED) if c not in dims + tie))
     cells = quantise(df, dims, bits).withColumn("hilbert", hilbert_index("q", len(dims), bits)).drop("q")
     out = ranked(cells, scratch, [], ["hilbert", *tie])
     n = out.agg(F.count(F.lit(1))).first()[0]

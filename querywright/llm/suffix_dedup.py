@@ -219,8 +219,8 @@ def shared_anchors(df: DataFrame) -> DataFrame:
     return shared_tokens(df, text_anchors, own_anchors, "doc_id long, anchors binary")
 
 
-def squeezed(df: DataFrame) -> DataFrame:
-    """(doc_id, z): texts compressed, as they are to be shuffled."""
+def squeezed(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, z, carried columns): texts compressed, as they are to be shuffled."""
     small_batches(df.sparkSession)
 
     def run(batches):
@@ -228,9 +228,14 @@ def squeezed(df: DataFrame) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], ["doc_id", "z", *carry])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return df.select("doc_id", "text", *carry).mapInArrow(run, "doc_id long, z binary" + typed(df, carry))
+
+
+def typed(df: DataFrame, names: tuple[str, ...]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f", `{c}` {kinds[c]}" for c in names)
 
 
 def text_key(raw: bytes) -> int:
@@ -437,8 +442,10 @@ def own_runs(raw: bytes, keys: list[int] | None, lists: list[bytes] | None) -> l
     return [x for k, x in zip(keys, lists, strict=True) if k == own]
 
 
-def remove_repeats(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is what remains, as bytes."""
+def remove_repeats(df: DataFrame, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, carried columns): ``kept`` is what remains, as bytes.
+
+    ``carry``: columns of ``df`` that each row keeps; others are not read."""
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
     runs = removals(df, scratch).groupBy("doc_id").agg(F.collect_list("text_key").alias("keys"), F.collect_list("runs").alias("runs"))
@@ -450,9 +457,11 @@ def remove_repeats(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         for b in batches:
             raw = [unpack(z.as_buffer()) for z in b.column(1)]
             done = [kept_bytes(r, own_runs(r, k, x)) for r, k, x in zip(raw, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[0] for x in done], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[0] for x in done], pa.binary()), *b.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    return squeezed(df).join(runs, "doc_id", "left").select("doc_id", "z", "keys", "runs").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    runs = runs.withColumnRenamed("doc_id", "_run")
+    rows = squeezed(df, carry).join(runs, F.col("doc_id") == F.col("_run"), "left").select("doc_id", "z", "keys", "runs", *carry)
+    return rows.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + typed(df, carry))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

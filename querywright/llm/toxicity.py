@@ -2,13 +2,14 @@
 
 From labelled rows (about ``sample`` of them, drawn by hash) lexicons of words and word beginnings are
 drawn up, one for each length, split over two halves of the rows, so that no lexicon votes on what it
-was drawn from alone.  The lexicons, their densities and the given label itself are voters; a
+was drawn from alone.  The lexicons, their density, patterns (lexicon words behind masked or stretched spellings,
+repeated marks) and the given label itself are voters; a
 generative model estimates their accuracies and discounts those that repeat one another, and its
 posteriors, which mend wrong labels, train a linear classifier on hashed words and word beginnings.
 
-Only the text is scored.  Rows whose crc32(doc_id) mod 3 is 1 are held out, and rows without a
+Only the text is scored; columns besides doc_id and text are not read.  Rows that repeat get equal scores.  Rows whose crc32(doc_id) mod 3 is 1 are held out, and rows without a
 label are not learnt from.  Null and empty texts get the score of a text without signs.
-A table without labels scores every text alike, below the threshold.
+A table without labels scores every text alike, below the threshold; an empty one gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ from .weak_labels import LabelModel, feature, train_linear
 BITS = 20
 LENGTHS = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Kinds of signs that pattern voters look at, after those of whole words and beginnings.
+MASKED, STRETCHED = len(LENGTHS) + 1, len(LENGTHS) + 2
+_MASK = re.compile(r"[^\W\d_][0134578@$!*._-]+[^\W\d_]")
+_UNMASK = str.maketrans("0134578@$!", "oieastbasi", "*._-")
+_STRETCH = re.compile(r"(.)\1{2,}")
+_MARKS = re.compile(r"[!?]{2,}")
 
 
 def held_out(c: Column) -> Column:
@@ -33,11 +40,16 @@ def held_out(c: Column) -> Column:
 
 
 def signs(token: str) -> list[tuple[int, int]]:
-    """(kind, hashed feature) of the words of a token: whole (kind 0) and beginnings by length."""
+    """(kind, hashed feature) of the words of a token: whole (kind 0) and beginnings by length, and both of
+    the word behind a spelling with masks (d1gits, sym*bols) or stretched letters."""
     out = []
     for w in _WORD.findall(token):
         out.append((0, feature("=" + w, BITS)))
         out += [(k, feature(w[:n], BITS)) for k, n in enumerate(LENGTHS, 1) if len(w) >= n]
+    for kind, found, plain in ((MASKED, _MASK, lambda t: t.translate(_UNMASK)), (STRETCHED, _STRETCH, lambda t: _STRETCH.sub(r"\1", t))):
+        if found.search(token):
+            for w in _WORD.findall(plain(token)):
+                out += [(kind, feature("=" + w, BITS)), *((kind, feature(w[:n], BITS)) for n in LENGTHS if len(w) >= n)]
     return out
 
 
@@ -76,13 +88,16 @@ def learn_from(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float,
     for side in (0, 1):
         odds, bad, _ = _odds(rows, y, half == side)
         lexicon.append((odds > 2.0) & (bad >= 4))
-    ballots = np.full((len(y), len(LENGTHS) + 3), -1)
+    ballots = np.full((len(y), len(LENGTHS) + 6), -1)
     for i, s in enumerate(found):
         # rows are judged by the lexicon of the other half
         lex = lexicon[1 - half[i]]
         hits = [(k, f) for k, f in s if lex[f]]
         for k in range(len(LENGTHS) + 1):
             ballots[i, k] = int(any(j == k for j, _ in hits))
+        for k in (MASKED, STRETCHED):
+            ballots[i, k] = 1 if any(j == k for j, _ in hits) else -1
+        ballots[i, -3] = 1 if _MARKS.search(texts[i] or "") else 0
         ballots[i, -2] = 1 if len({f for _, f in hits}) >= 6 else 0 if not hits else -1
     ballots[:, -1] = y
     patterns, inverse, counts = np.unique(ballots, axis=0, return_inverse=True, return_counts=True)
@@ -91,7 +106,8 @@ def learn_from(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float,
     post = model.posterior(patterns)[inverse.ravel()]
     # Only signs that tell classes apart have a weight; the rest of the vocabulary has none.
     odds, bad, good = _odds(rows, (post >= 0.5).astype(np.int64), np.ones(len(y), bool))
-    useful = (np.abs(odds) > 1.0) & (bad + good >= 8) & ((bad >= 6) | (odds < 0)) & (odds > 0)
+    # Signs of clean texts have no weight, so that what surrounds a toxic passage cannot hide it.
+    useful = (odds > 1.0) & (bad + good >= 8) & (bad >= 6)
     rows = [r[useful[r]] for r in rows]
     values = [np.minimum(odds[r], 4.0) / 4 for r in rows]
     w, b = train_linear(rows, values, post, np.ones(len(y)), 1 << BITS, rounds=200, shrink=1e-5)
@@ -119,7 +135,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, sample: int = 16_000, thre
         yield pa.RecordBatch.from_arrays([pa.array([on.astype(np.int32).tobytes()], pa.binary()), pa.array([w[on].tobytes()], pa.binary()), pa.array([bias])], ["on", "w", "b"])
 
     picked = df.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
-    got = picked.coalesce(1).mapInArrow(learn, "on binary, w binary, b double").first() if n else None
+    got = picked.repartition(1).mapInArrow(learn, "on binary, w binary, b double").first() if n else None
     weights = dict(zip(np.frombuffer(got["on"], np.int32).tolist(), np.frombuffer(got["w"]).tolist(), strict=True)) if got else {}
     bias = got["b"] if got else -2.0
 

@@ -370,3 +370,46 @@ def test_pipeline_texts(spark, data, docs, tmp_path):
     for p in places.values():
         ends = [a + n for a, n in sorted(p)]
         assert [a for a, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_pipeline_awkward(spark, awkward, none, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and ids, and clashing columns."""
+    more = [(2, "another text of the same id", "fr", "b", 27, 0, "y"), (None, "no id either", "fr", "b", 12, 0, "z"), (None, "no id here", "en", "a", 10, 0, "x")]
+    rows = awkward.union(spark.createDataFrame(more, awkward.schema))
+    old = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, rows, "").write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        if name == "near_duplicates":
+            # Text 2 has an own text besides one that is linked with text 1, so that both ids are one component.
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted((d or 0, t or "") for d, t, _, _ in old if d != 2)
+        if name == "repeated_passages":
+            assert {(r["doc_id"], r["lang"], r["source"]) for r in got} == {(d, lang, s) for d, _, lang, s in old}
+            assert len(got) == len(old)
+        if name == "mixing":
+            texts = {(r["doc_id"], r["source"], r["lang"]): {t for d, t, lang, s in old if (d, s, lang) == (r["doc_id"], r["source"], r["lang"])} for r in got}
+            assert all(any(t and t.startswith(r["text"]) for t in texts[r["doc_id"], r["source"], r["lang"]]) for r in got)
+            words = lambda t: len((t or "").encode().split())
+            total = sum(words(t) for _, t, _, _ in old)
+            assert abs(sum(words(r["text"]) for r in got) - total) <= 4
+            # Equal rows share what is taken: each of the three null ids with words has its own text.
+            assert {r["text"] for r in got if r["doc_id"] is None} <= {"no id here", "no id either", "no id", "no"}
+        if name == "packing":
+            assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) and sum(r["doc_id"] is None for r in got) == 3
+        if name != "packing":
+            assert stage(spark, none, "").count() == 0 and set(got[0].asDict()) == set(corpus_pipeline.COLUMNS)
+        else:
+            assert stage(spark, none, "").count() == 0
+
+
+def test_clashing_columns(spark, awkward):
+    """Columns that have the names of results are replaced."""
+    from querywright.llm import mixing, sharding
+
+    rows = awkward.selectExpr("doc_id", "text", "source", "1 AS score", "2 AS keep", "3 AS hilbert", "4 AS shard", "5 AS target", "6 AS source_size", "7 AS name", "8 AS rank", "coalesce(n_chars, 0) AS size")
+    got = quality.quality_scores(rows).select("doc_id", "score", "keep").collect()
+    assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
+    got = sharding.hilbert_shards(rows, ["source", "doc_id"], ["doc_id", "text"]).select("hilbert", "rank", "shard", "slot", "size").toPandas()
+    assert sorted(got["rank"]) == list(range(11))
+    got = mixing.mix(rows)[0].select("source", "target", "source_size", "taken").toPandas()
+    assert got.drop_duplicates("source")["source_size"].sum() == rows.selectExpr("sum(size)").first()[0]
