@@ -97,7 +97,7 @@ def learn_from(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float,
             ballots[i, k] = int(any(j == k for j, _ in hits))
         for k in (MASKED, STRETCHED):
             ballots[i, k] = 1 if any(j == k for j, _ in hits) else -1
-        ballots[i, -3] = 1 if _MARKS.search(texts[i] or "") else 0
+        ballots[i, -3] = 1 if _MARKS.search(texts[i] or "") else -1
         ballots[i, -2] = 1 if len({f for _, f in hits}) >= 6 else 0 if not hits else -1
     ballots[:, -1] = y
     patterns, inverse, counts = np.unique(ballots, axis=0, return_inverse=True, return_counts=True)
