@@ -16,10 +16,10 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Tokens of a batch, and from how many of its documents on a token is sent without them.
-BATCH, COMMON = 1_000_000, 64
+BATCH, COMMON = 600_000, 64
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -213,6 +213,6 @@ def shared_tokens(df: DataFrame, tokens_of: Callable, gathered: Callable[[list,
         if head:
             yield gathered(head, parts)
 
-    sent = df.select("doc_id", "text").mapInArrow(send, "slice int, batch long, kind int, body binary")
-    met = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "batch long, kind int, body binary")
-    return met.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(gather, schema)
+    sent = df.select("doc_id", "text").mapInArrow(tidy(send), "slice int, batch long, kind int, body binary")
+    met = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(meet), "batch long, kind int, body binary")
+    return met.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(gather), schema)

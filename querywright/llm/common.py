@@ -58,6 +58,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidy(run):
+    """A function for mapInArrow whose worker gives unused memory back at the end of each task.
+
+    Workers live on between tasks, beside the executor's heap."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir``, which every executor can read again.
 

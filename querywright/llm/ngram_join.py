@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batch_counts import regrouped, shared_tokens
-from .common import Scratch, components, distinct, documents, mixed
+from .batch_counts import gaps, joined_gaps, packed, regrouped, shared_tokens, unpacked
+from .common import Scratch, components, distinct, documents, mixed, tidy
 
 WORDS, GROUPS = 5, 512
 _PLACES = mixed(np.arange(64) + 77) | np.uint64(1)
@@ -79,7 +79,7 @@ def gathered(head: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.Record
     for k in np.flatnonzero(left > 0).tolist():
         own = t[ends[k] - shared[k] : ends[k]]
         first[k] = own[: left[k]].astype(np.int64)
-        sets[k] = np.sort(own).tobytes()
+        sets[k] = packed(*gaps(np.sort(own)))
     raw = digests.tobytes()
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=known == 0), pa.array(sizes, pa.int64()), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(sets, pa.binary()), pa.array(first, pa.list_(pa.int64()))], schema=_DOC)
 
@@ -173,10 +173,10 @@ def block_edges(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], min
     return found
 
 
-def family_links(members: DataFrame, sets: DataFrame, chunk: int, room: int = 1 << 25) -> DataFrame:
+def family_links(members: DataFrame, sets: DataFrame, chunk: int, room: int = 1 << 24) -> DataFrame:
     """Edges (a, b) of ``members(kind, family, doc)``, each pair of blocks of a family in turn.
 
-    A block has about ``chunk`` documents, and ``room`` bytes of sets."""
+    A block has about ``chunk`` documents, and ``room`` bytes of packed sets."""
     rows = members.join(sets, "doc")
     parts = rows.groupBy("kind", "family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum(F.length("tokens")) / room)).cast("int").alias("parts"))
     rows = rows.join(parts, ["kind", "family"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -184,7 +184,7 @@ def family_links(members: DataFrame, sets: DataFrame, chunk: int, room: int = 1
 
     def run(batches):
         def edges(held):
-            found = block_edges(np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], np.int64), [np.frombuffer(r[7], np.uint64) for r in held], np.array([r[4] for r in held]), *at[2:])
+            found = block_edges(np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], np.int64), [joined_gaps(*unpacked(r[7])) for r in held], np.array([r[4] for r in held]), *at[2:])
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held, at = [], None
@@ -198,7 +198,7 @@ def family_links(members: DataFrame, sets: DataFrame, chunk: int, room: int = 1
         if held:
             yield edges(held)
 
-    return rows.repartition("kind", "family", "p", "q").sortWithinPartitions("kind", "family", "p", "q").mapInArrow(run, "a long, b long")
+    return rows.repartition("kind", "family", "p", "q").sortWithinPartitions("kind", "family", "p", "q").mapInArrow(tidy(run), "a long, b long")
 
 
 def similar_documents(df: DataFrame, scratch: Scratch | None = None, chunk: int = 1024, whole: int = 32) -> DataFrame:

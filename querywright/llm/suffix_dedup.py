@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batch_counts import batch_slices, gaps, joined_gaps, narrow, packed, planes, regrouped, shared_tokens, starts, unpacked
-from .common import Scratch, distinct, documents, mixed, small_batches
+from .common import Scratch, distinct, documents, mixed, small_batches, tidy
 
 SPAN, GRAM = 50, 16
 #: Bytes of a text whose anchors are found at a time; places in it take 24 bits.
@@ -250,7 +250,8 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
     shared = shared_anchors(df).groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     repeats = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("several"))
     shared = shared.join(repeats, "doc_id", "left")
-    slices = np.uint64(batch_slices(df.sparkSession))
+    groups = batch_slices(df.sparkSession)
+    slices = np.uint64(groups)
 
     def send(batches):
         import zstandard
@@ -259,26 +260,25 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
 
         def flush(held):
             t, docs, keys, first = (np.concatenate([h[k] for h in held]) for k in range(4))
+            bodies = [x for h in held for x in h[4]]
             # Equal runs of one anchor are sent once.
-            number: dict[tuple, int] = {}
-            kind = np.fromiter((number.setdefault(x, len(number)) for h in held for x in zip(h[0].tolist(), h[4], strict=True)), np.int64, len(t))
-            runs = list(number)
-            anchor = np.array([r[0] for r in runs], np.uint64)
-            order = np.lexsort((np.array([len(r[1]) for r in runs]), anchor))
-            place = np.empty(len(runs), np.int64)
-            place[order] = np.arange(len(runs))
-            by = np.argsort(place[kind], kind="stable")
-            docs, keys, first = docs[by], keys[by], first[by]
-            anchor, many = anchor[order], np.bincount(kind, minlength=len(runs))[order]
-            ends = np.concatenate([[0], np.cumsum(many)])
+            digest = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
+            by = np.lexsort((digest, np.fromiter(map(len, bodies), np.int64, len(bodies)), t))
+            t, docs, keys, first, digest = t[by], docs[by], keys[by], first[by], digest[by]
+            bodies = [bodies[i] for i in by.tolist()]
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (digest[1:] != digest[:-1])])
+            for i in np.flatnonzero(~new).tolist():
+                new[i] = bodies[i] != bodies[i - 1]
+            at = np.flatnonzero(new)
+            anchor, many, bodies = t[at], np.diff(np.append(at, len(t))), [bodies[i] for i in at.tolist()]
+            ends = np.append(at, len(t))
             piece = ((anchor >> np.uint64(24)) * slices >> np.uint64(32)).astype(np.int64)
             cuts = np.append(starts(piece), len(piece)).tolist()
             low, rows = int(docs.min()), []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                bodies = [runs[i][1] for i in order[a:b].tolist()]
-                at = slice(ends[a], ends[b])
-                meta = packed(*gaps(anchor[a:b]), narrow(np.array(list(map(len, bodies)))), narrow(many[a:b]), *planes(docs[at] - low), keys[at], *planes(first[at]))
-                rows.append((int(piece[a]), meta, pack(b"".join(bodies))))
+                part, at = bodies[a:b], slice(ends[a], ends[b])
+                meta = packed(*gaps(anchor[a:b]), narrow(np.array(list(map(len, part)))), narrow(many[a:b]), *planes(docs[at] - low), keys[at], *planes(first[at]))
+                rows.append((int(piece[a]), meta, pack(b"".join(part))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([low] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], ["slice", "low", "meta", "bodies"])
 
         held, n = [], 0
@@ -326,26 +326,50 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
                 if piece != now and rows:
                     settle(rows)
                     rows = []
-                    if sum(len(x[0]) for x in done) >= 1_000_000:
-                        yield from by_document(done)
-                        done = []
+                    if sum(len(x[0]) for x in done) >= 500_000:
+                        yield dealt(done, groups)
+                        done.clear()
                 now = piece
                 rows.append((low, meta, body))
         if rows:
             settle(rows)
-        yield from by_document(done)
+        if done:
+            yield dealt(done, groups)
 
     texts = squeezed(df.where("doc_id is not null")).join(shared, "doc_id")
-    sent = texts.mapInArrow(send, "slice int, low long, meta binary, bodies binary")
-    runs = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "doc_id long, text_key long, runs binary")
-    return scratch.save(runs, "runs")
+    sent = texts.mapInArrow(tidy(send), "slice int, low long, meta binary, bodies binary")
+    runs = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(meet), "part int, body binary")
+    return scratch.save(runs.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(by_document), "doc_id long, text_key long, runs binary"), "runs")
 
 
-def by_document(found: list[tuple]):
-    """Batches (doc_id, text_key, runs) of removed windows (documents, keys, first, last)."""
-    if not found:
-        return
+def dealt(found: list[tuple], groups: int) -> pa.RecordBatch:
+    """Rows (part, body) of removed windows (documents, keys, first, last), packed by groups of documents."""
     d, key, a, b = (np.concatenate([f[k] for f in found]) for k in range(4))
+    group = (mixed(d.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((a, key, d, group))
+    d, key, a, b, group = d[order], key[order], a[order], b[order], group[order]
+    cuts = np.append(starts(group), len(group)).tolist()
+    rows = [(int(group[x]), packed(d[x:y], key[x:y], a[x:y].astype("<u4"), narrow(b[x:y] - a[x:y]))) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "body"])
+
+
+def by_document(batches):
+    """Batches (doc_id, text_key, runs): a row for each text of which windows go."""
+    held, now = [], None
+    for batch in batches:
+        for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != now and held:
+                yield from grouped(held)
+                held = []
+            now = part
+            held.append(unpacked(body))
+    if held:
+        yield from grouped(held)
+
+
+def grouped(found: list[list[np.ndarray]]):
+    d, key, a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(4))
+    b = a + b
     order = np.lexsort((key, d))
     d, key = d[order], key[order]
     runs = np.stack([a[order], b[order]], 1).astype("<u4")
@@ -461,7 +485,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch | None = None, carry: tuple[s
 
     runs = runs.withColumnRenamed("doc_id", "_run")
     rows = squeezed(df, carry).join(runs, F.col("doc_id") == F.col("_run"), "left").select("doc_id", "z", "keys", "runs", *carry)
-    return rows.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + typed(df, carry))
+    return rows.mapInArrow(tidy(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + typed(df, carry))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

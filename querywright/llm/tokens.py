@@ -218,11 +218,12 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> ChunkEncoder:
-    """One encoder per worker process and file."""
-    key = (path, drops_space)
+def encoder(path: str, drops_space: bool, most: int = 500_000) -> ChunkEncoder:
+    """One encoder per worker process, the last that was asked for."""
+    key = (path, drops_space, most)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, drops_space)
+        _ENCODERS.clear()
+        _ENCODERS[key] = ChunkEncoder(path, drops_space, most)
     return _ENCODERS[key]
 
 
