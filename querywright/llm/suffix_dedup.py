@@ -37,6 +37,8 @@ from .common import Scratch, distinct, documents, mixed, small_batches, tidy
 SPAN, GRAM = 50, 16
 #: Bytes of a text whose anchors are found at a time; places in it take 24 bits.
 SLICE = 1 << 23
+#: Bytes of strings that are settled together, but for those of one anchor.
+TOGETHER = 1 << 19
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
@@ -250,8 +252,8 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
     shared = shared_anchors(df).groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     repeats = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("several"))
     shared = shared.join(repeats, "doc_id", "left")
-    groups = batch_slices(df.sparkSession)
-    slices = np.uint64(groups)
+    slices = np.uint64(batch_slices(df.sparkSession))
+    groups = batch_slices(df.sparkSession) // 16
 
     def send(batches):
         import zstandard
@@ -318,7 +320,16 @@ def removals(df: DataFrame, scratch: Scratch) -> DataFrame:
                 keys.append(key)
                 firsts.append(f_low.astype(np.int64) | f_high.astype(np.int64) << 8)
                 shard.append(np.full(len(key), len(shard)))
-            done.append(resolve(*(np.concatenate(x) for x in (ts, docs, keys, firsts, shard, kinds)), bodies))
+            t, *rest = (np.concatenate(x) for x in (ts, docs, keys, firsts, shard, kinds))
+            order = np.argsort(t, kind="stable")
+            t, rest = t[order], [x[order] for x in rest]
+            # Strings of different anchors share no window: some anchors at a time.
+            at = starts(t)
+            size = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies))[rest[-1]])[np.append(at[1:], len(t)) - 1]
+            cuts = np.append(at[starts(size // TOGETHER)], len(t)).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                kinds, inverse = np.unique(rest[-1][a:b], return_inverse=True)
+                done.append(resolve(t[a:b], *(x[a:b] for x in rest[:-1]), inverse, [bodies[i] for i in kinds.tolist()]))
 
         rows, now = [], None
         for b in batches:
