@@ -102,6 +102,20 @@ def with_identity(rows: DataFrame, column: str, last: int | None, order: list[st
     return rows.withColumn(column, (F.row_number().over(w) + (last or 0)).cast("long"))
 
 
+def numbered(rows: DataFrame, column: str, last: int) -> DataFrame:
+    """Ids from ``last`` + 1 in the order in which the rows stand.
+
+    Partitions are counted, and each begins where the ones before it end, so no task holds all rows."""
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    parts = sorted(placed.groupBy(F.shiftright("_place", 33).alias("p")).count().collect())  # a row a partition
+    begins, at = {}, last + 1
+    for p, n in parts:
+        begins[p] = at
+        at += n
+    first = F.create_map(*[F.lit(x) for p, b in begins.items() for x in (p, b)]) if begins else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return placed.withColumn(column, F.element_at(first, F.shiftright("_place", 33)) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place")
+
+
 def update_where(df: DataFrame, cond: Column, values: dict) -> DataFrame:
     hit = F.coalesce(cond, F.lit(False))
     return df.select(*[F.when(hit, (v if isinstance(v, Column) else F.lit(v)).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if (v := values.get(c, df)) is not df else F.col(c) for c in df.columns])
@@ -157,15 +171,19 @@ def competing_unique(t: Table) -> list[Index]:
 
 
 def upsert(df: DataFrame, t: Table, rows, on_match: str = "update", key: list[str] | None = None) -> DataFrame:
-    """Of rows with one key the last wins; null keys never match."""
+    """Of rows with one key the last wins, in a frame the one that stands last; null keys never match."""
     _writable(t)
     key = key or upsert_key(t)
     if isinstance(rows, DataFrame):
-        new = rows_frame(df, rows, df.columns).dropDuplicates(key)
+        whole = " AND ".join(f"`{k}` IS NOT NULL" for k in key)
+        rest = [c for c in df.columns if c not in key]
+        placed = rows_frame(df, rows, df.columns).withColumn("_place", F.monotonically_increasing_id())
+        last = placed.where(whole).groupBy(*key).agg(F.max_by(F.struct(*rest, F.lit(0).alias("_v")), "_place").alias("_last"))
+        new = last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*df.columns).unionByName(placed.where(f"NOT ({whole})").drop("_place"))
     else:
         guard(rows, t)
         plain = [r if isinstance(r, dict) else r.asDict() for r in rows]
-        last = {tuple(r.get(k) for k in key): r for r in plain}
+        last = {tuple(r.get(k) for k in key) if all(r.get(k) is not None for k in key) else ("", n): r for n, r in enumerate(plain)}
         new = rows_frame(df, list(last.values()), df.columns)
     if on_match == "nothing":
         return df.unionByName(new.join(df.select(*key), key, "left_anti").select(*df.columns))

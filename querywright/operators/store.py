@@ -48,8 +48,18 @@ class TableStore:
         finally:
             out.close()
 
+    def _numbers(self) -> list[int]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
+
     def manifest(self) -> dict:
-        return json.loads(self._read_text("manifest.json") or '{"tables": {}, "sequences": {}, "identities": {}}')
+        """The newest one; the one before is kept for readers that are about to open it."""
+        last = self._numbers()[-1:]
+        return json.loads(self._read_text(f"manifest-{last[0]:012d}") if last else '{"tables": {}, "sequences": {}, "identities": {}}')
+
+    def break_lock(self) -> None:
+        """Free the store from a writer that has died; its versions were never current."""
+        self._fs.delete(self._path(f"{self.root}/lock"), False)
 
     @contextmanager
     def transaction(self) -> Iterator[TableStore]:
@@ -66,12 +76,14 @@ class TableStore:
         try:
             yield self
             m = self._meta | {"tables": self.staged}
-            tmp = f"manifest-{uuid.uuid4().hex}"
+            # Written beside, then renamed to the next number: a reader sees the old one or the new one, whole.
+            tmp = f"writing-{uuid.uuid4().hex}"
             self._write_text(tmp, json.dumps(m))
-            old = self._path(f"{self.root}/manifest.json")
-            if self._fs.exists(old):
-                self._fs.delete(old, False)
-            self._fs.rename(self._path(f"{self.root}/{tmp}"), old)
+            last = self._numbers()[-1:] or [0]
+            if not self._fs.rename(self._path(f"{self.root}/{tmp}"), self._path(f"{self.root}/manifest-{last[0] + 1:012d}")):
+                raise StoreError("the manifest could not be renamed")
+            for k in self._numbers()[:-2]:
+                self._fs.delete(self._path(f"{self.root}/manifest-{k:012d}"), False)
         finally:
             self.staged = None
             self._fs.delete(self._path(f"{self.root}/lock"), False)
@@ -96,18 +108,38 @@ class TableStore:
         with self.transaction():
             base = self.read(table)
             new = crud.insert(base.limit(0), t, rows, scope)
-            ident = [c.name for c in t.columns if c.is_identity]
-            if len(ident) == 1:
-                last = self._meta["identities"].get(table)
-                last = last if last is not None else base.agg(F.max(ident[0])).first()[0] or 0
-                order = [c for c in new.columns if c != ident[0]]
-                new = crud.with_identity(new, ident[0], last, order).select(*[F.col(c).cast(base.schema[c].dataType).alias(c) for c in base.columns])
-                n = new.count()
-                self._meta["identities"][table] = last + n
-                self.write(table, new, append=True)
-                return list(range(last + 1, last + n + 1))
-            self.write(table, new, append=True)
+            return self._append(t, base, new, None if isinstance(rows, DataFrame) else list(range(len(rows))))
+
+    def _append(self, t, base: DataFrame, new: DataFrame, places: list[int] | None = None) -> int | list[int]:
+        """Add rows; where the table has one identity column they get ids in the order of the rows, and the ids are
+        returned for rows that were given one by one."""
+        ident = [c.name for c in t.columns if c.is_identity]
+        if len(ident) != 1:
+            self.write(t.name, new, append=True)
             return new.count()
+        last = self._meta["identities"].get(t.name)
+        last = last if last is not None else base.agg(F.max(ident[0])).first()[0] or 0
+        new = crud.numbered(new, ident[0], last).select(*[F.col(c).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+        self.write(t.name, new, append=True)
+        n = len(places) if places is not None else new.count()
+        self._meta["identities"][t.name] = last + n
+        return list(range(last + 1, last + n + 1)) if places is not None else n
+
+    def execute(self, query, **args):
+        """Run a writing statement of a catalog and commit it."""
+        with self.transaction():
+            change = query.change(self.spark, self.read, **args)
+            t = self.snapshot.table(change.table)
+            if change.added is not None and query.statement.kind == "INSERT" and not query.statement.upsert:
+                base = self.read(change.table)
+                got = self._append(t, base, change.added, list(range(change.added.count())) if query.directives.identity else None)
+                return got if query.directives.identity or not query.statement.returning else change.rows
+            # Lazy frames keep the version of the table that they read.
+            rows = change.rows
+            n = rows.count()
+            if n:
+                self.write(change.table, change.content)
+            return rows if query.statement.returning else n
 
     def update(self, table: str, key: dict, values: dict, scope: dict | None = None, version: tuple[str, int] | None = None) -> int:
         """Rows changed; with (column, value) of a version, 0 if it is stale."""

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ from .model import Statement
 from .model import parse as parse_sql
 from .rewrite import rewrite
 
+if TYPE_CHECKING:
+    from ..operators.statements import Change
+
 #: Beyond so many values a list parameter becomes a table to semi-join, not literals in the plan.
 LITERALS = 1000
 
@@ -99,7 +103,47 @@ class Query:
     @property
     def spark_sql(self) -> str:
         quals = frozenset({"dbo", "public", "main"})
-        return rewrite(self.sql, self.dialect, quals)
+        return rewrite(self.sql, self.dialect, quals, self.kinds)
+
+    @property
+    def kinds(self) -> dict[str, str]:
+        """ "whole" or "text" of the columns that have one kind in all tables of the statement."""
+        found: dict[str, set] = {}
+        for s in self.statement.every():
+            for scope in scopes_of(s, self.snapshot).values():
+                for name, c in scope.items():
+                    t = spark_type(c.db_type, self.dialect) if c is not None else None
+                    kind = "text" if isinstance(t, T.StringType) else "whole" if isinstance(t, T.IntegralType) else None
+                    found.setdefault(name, set()).add(kind)
+        return {n: k for n, (k, *more) in found.items() if k and not more}
+
+    @property
+    def writes(self) -> bool:
+        return self.statement.kind in ("INSERT", "UPDATE", "DELETE")
+
+    def change(self, spark: SparkSession, frame_of: Callable[[str], DataFrame], **args) -> Change:
+        """What a writing statement makes of its table; nothing is committed.  ``frame_of(name)`` gives tables."""
+        from ..operators.statements import Writer
+
+        if not self.writes:
+            raise ShapeError(f"{self.name} does not write")
+        self._takes(args)
+        target = self.statement.tables[0].name
+        for s in self.statement.every():
+            for r in s.tables:
+                if r.name.lower() != target.lower() and r.name.lower() not in s.ctes:
+                    frame_of(r.name).createOrReplaceTempView(r.name)
+        find = self.snapshot.table if self.snapshot else lambda _: None
+        return Writer(spark, self.sql, self.dialect, find, frame_of, {k: self._value(k, v) for k, v in args.items()}, self.kinds).run()
+
+    def execute(self, store, **args) -> DataFrame | int | list[int]:
+        """Run a writing statement on a TableStore: the RETURNING rows, else the new ids of ``@identity``, else the rows changed."""
+        return store.execute(self, **args)
+
+    def _takes(self, args: dict) -> None:
+        missing = [p for p in self.statement.params if p not in args]
+        if missing or set(args) - set(self.statement.params):
+            raise ParameterError(f"{self.name}: takes {self.statement.params}, got {sorted(args)}")
 
     def _value(self, name: str, value):
         kind = self.types.get(name)
@@ -119,14 +163,15 @@ class Query:
 
     def __call__(self, spark: SparkSession, **args) -> DataFrame:
         """The result, not yet computed.  Empty lists give no rows without running anything."""
-        missing = [p for p in self.statement.params if p not in args]
-        if missing or set(args) - set(self.statement.params):
-            raise ParameterError(f"{self.name}: takes {self.statement.params}, got {sorted(args)}")
+        if self.writes:
+            raise ShapeError(f"{self.name} writes: use execute or change")
+        self._takes(args)
         text, bound, empty = self.spark_sql, {}, False
         for name, value in args.items():
             if name in self.directives.each:
                 value = list(value)
                 empty |= not value
+                value = [self._value(name, v) for v in value]
                 if len(value) > LITERALS:
                     view = f"__each_{re.sub(r'\W', '_', self.name)}_{name}"
                     kind = self.types.get(name)
@@ -135,7 +180,7 @@ class Query:
                     text = re.sub(rf"\(\s*:{name}\s*\)|:{name}\b", f"(SELECT value FROM {view})", text)
                 else:
                     marks = [f"{name}__{k}" for k in range(len(value))] or [f"{name}__0"]
-                    bound |= {m: self._value(name, v) for m, v in zip(marks, value or [None], strict=True)}
+                    bound |= dict(zip(marks, value or [None], strict=True))
                     inner = ", ".join(":" + m for m in marks)
                     text = re.sub(rf"\(\s*:{name}\s*\)|:{name}\b", f"({inner})", text)
             else:
@@ -150,6 +195,7 @@ class Query:
         return self(spark, **args).first()
 
     def stream(self, spark: SparkSession, **args) -> Iterator[Row]:
+        """Rows as they are reached; for a query that reads, marked ``@stream`` or not."""
         return lazy_rows(self(spark, **args))
 
     def check_shape(self, schema: T.StructType) -> None:

@@ -56,7 +56,18 @@ def from_jdbc(spark: SparkSession, url: str, dialect: str, **options) -> Snapsho
     return s
 
 
+_REGISTERED: dict[tuple, str] = {}
+
+
 def register(spark: SparkSession, folder: str, tables: list[str]) -> None:
-    """Parquet tables as temporary views; footers only are read here."""
+    """Parquet tables as temporary views, those of another folder or session only; footers are read here."""
     for t in tables:
-        spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
+        key = (id(spark), spark.sparkContext.applicationId, t)
+        if _REGISTERED.get(key) != folder or not spark.catalog.tableExists(t):
+            spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
+            _REGISTERED[key] = folder
+
+
+def forget() -> None:
+    """Views may have been replaced by others of their names."""
+    _REGISTERED.clear()

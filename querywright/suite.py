@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .operators import crud
 from .plans.catalog import Query, QueryCatalog
-from .sources.live import register
+from .plans.lexer import tokenize
+from .sources.live import forget, register
 from .sources.snapshot import Snapshot, load_snapshot
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -44,15 +45,17 @@ def _literal(v) -> str:
     return str(v)
 
 
-def _in(spark: SparkSession, sf_dir: str) -> None:
-    register(spark, sf_dir, TABLES)
+def _in(spark: SparkSession, sf_dir: str, q: Query | None = None) -> None:
+    """Views of the tables that a statement names, or of all."""
+    words = {t.value.lower() for t in tokenize(q.sql)} if q else set(TABLES)
+    register(spark, sf_dir, [t for t in TABLES if t in words])
 
 
 def query(name: str, sql: str, duck: str | None = None, dialect: str = "native", **args) -> None:
     q = Query(name, sql, dialect, snapshot())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _in(spark, sf_dir)
+        _in(spark, sf_dir, q)
         return q(spark, **args)
 
     _SPARK[name] = run
@@ -166,10 +169,11 @@ query("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s
 query("set_except", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 query("scalar_subquery", "SELECT p_partkey FROM part WHERE p_size = (SELECT max(p_size) FROM part)")
 query("derived_table", "SELECT t.c_nationkey, t.n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) t WHERE t.n > 50")
-query("distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+query("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 query("lateral", "SELECT n.n_name, x.top_balance FROM nation n, LATERAL (SELECT max(c.c_acctbal) AS top_balance FROM customer c WHERE c.c_nationkey = n.n_nationkey) x")
 query("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 30) SELECT n FROM t")
-query("cube_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+query("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+query("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 query("json_prop", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 query("array_filter", "SELECT vec_id, CAST(size(filter(embedding, x -> x > 0)) AS bigint) AS positive FROM embeddings", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS bigint) AS positive FROM embeddings")
 
@@ -261,9 +265,9 @@ def _(spark, d):
     return crud.scoped(_base(spark, d, "customer"), {"c_nationkey": 4})
 
 
-@frame("scoped_update", "SELECT c_custkey, CASE WHEN c_custkey < 100 AND c_nationkey = 4 THEN 'SCOPED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@frame("scoped_update", "SELECT c_custkey, CASE WHEN c_custkey = 5 AND c_nationkey = 4 THEN 'SCOPED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def _(spark, d):
-    return crud.update_where(_base(spark, d, "customer"), (F.col("c_custkey") < 100) & (F.col("c_nationkey") == 4), {"c_mktsegment": "SCOPED"}).select("c_custkey", "c_mktsegment")
+    return crud.update(_base(spark, d, "customer"), _table("customer"), {"c_custkey": 5}, {"c_mktsegment": "SCOPED"}, scope={"c_nationkey": 4})[0].select("c_custkey", "c_mktsegment")
 
 
 @frame("update_from_join", "SELECT n_nationkey, coalesce(r_name, n_name) AS n_name, n_regionkey FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 2) r ON r_regionkey = n_regionkey")
@@ -283,7 +287,7 @@ def _file(name: str, key: str, **args) -> None:
     q = catalog()[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _in(spark, sf_dir)
+        _in(spark, sf_dir, q)
         return q(spark, **args)
 
     _SPARK[key] = run
@@ -298,6 +302,44 @@ _file("Orders.GetRevenueByRegion", "topk_revenue")
 _file("Customer.GetPage", "page_file", Segment="BUILDING", Skip=10, Take=15)
 
 
+def write(name: str, sql: str, duck: str, dialect: str = "native", rows: bool = False, **args) -> None:
+    """A writing statement: the content of its table afterwards, or with ``rows`` what it returns."""
+    q = Query(name, sql, dialect, snapshot())
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        change = q.change(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), **args)
+        # The views of a statement are its own.
+        forget()
+        return change.rows if rows else change.content
+
+    _SPARK[name] = run
+    _DUCK[name] = duck
+
+
+_NATION = "n_nationkey, n_name, n_regionkey"
+write("write_insert_values", "INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (@Id, 'ATLANTIS', 1), (41, @Name, NULL)", f"SELECT {_NATION} FROM nation UNION ALL SELECT 40, 'ATLANTIS', 1 UNION ALL SELECT 41, 'MU', NULL", Id=40, Name="MU")
+write("write_insert_select", "INSERT INTO region SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = @R", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 2", R=2)
+write("write_update", "UPDATE customer SET c_acctbal = c_acctbal + 10, c_mktsegment = @Seg WHERE c_nationkey = 3 AND c_acctbal < 0", "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 3 AND c_acctbal < 0 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 AND c_acctbal < 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer", Seg="NEW")
+write("write_update_from", "UPDATE nation SET n_name = r.r_name FROM region r WHERE nation.n_regionkey = r.r_regionkey AND r.r_regionkey < 2", "SELECT n_nationkey, coalesce(r_name, n_name) AS n_name, n_regionkey FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 2) r ON r_regionkey = n_regionkey", dialect="postgres")
+write("write_delete", "DELETE FROM nation WHERE nullif(n_regionkey, 1) > 2", f"SELECT {_NATION} FROM nation WHERE NOT coalesce(nullif(n_regionkey, 1) > 2, false)")
+write("write_delete_subquery", "DELETE FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)", "SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+write("write_on_conflict_update", "INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (3, 'FIRST', 9), (40, 'FORTY', 4), (3, 'THREE', 0), (5, 'FIVE', 0) ON CONFLICT (n_nationkey) DO UPDATE SET n_name = excluded.n_name || '/' || nation.n_name WHERE nation.n_nationkey < 5", f"SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'THREE/' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 40, 'FORTY', 4", dialect="postgres")
+write("write_on_conflict_nothing", "INSERT INTO nation VALUES (3, 'THREE', 0), (40, 'FORTY', 4) ON CONFLICT DO NOTHING", f"SELECT {_NATION} FROM nation UNION ALL SELECT 40, 'FORTY', 4", dialect="sqlite")
+write("write_on_duplicate_key", "INSERT INTO nation VALUES (3, 'THREE', 0), (40, 'FORTY', 4) ON DUPLICATE KEY UPDATE n_name = VALUES(n_name)", f"SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'THREE' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 40, 'FORTY', 4", dialect="mysql")
+write("returning_update", "UPDATE nation SET n_regionkey = n_regionkey + 1 WHERE n_nationkey < 4 RETURNING n_nationkey AS id, n_regionkey * 10 AS tens", "SELECT n_nationkey AS id, (n_regionkey + 1) * 10 AS tens FROM nation WHERE n_nationkey < 4", dialect="postgres", rows=True)
+write("returning_delete", "DELETE FROM nation WHERE n_regionkey = 1 RETURNING *", f"SELECT {_NATION} FROM nation WHERE n_regionkey = 1", dialect="postgres", rows=True)
+write("returning_upsert", "INSERT INTO nation VALUES (3, 'THREE', 0), (40, 'FORTY', 4) ON CONFLICT (n_nationkey) DO UPDATE SET n_name = excluded.n_name RETURNING n_nationkey, n_name", "SELECT 3 AS n_nationkey, 'THREE' AS n_name UNION ALL SELECT 40, 'FORTY'", dialect="postgres", rows=True)
+# Dialects
+query("dialect_whole_division", "SELECT p_partkey, p_size / 3 AS third, (p_size + 1) / 2 AS half, 1.5 * p_size / 2 AS wide FROM part", "SELECT p_partkey, p_size // 3 AS third, (p_size + 1) // 2 AS half, 1.5 * p_size / 2 AS wide FROM part", dialect="postgres")
+query("dialect_text_plus", "SELECT p_partkey, p_name + ' / ' + p_brand AS label, p_size + 1 AS more FROM part", "SELECT p_partkey, p_name || ' / ' || p_brand AS label, p_size + 1 AS more FROM part", dialect="sqlserver")
+query("dialect_null_order", "SELECT n_nationkey, nullif(n_regionkey, 1) AS r FROM nation ORDER BY nullif(n_regionkey, 1) DESC, n_nationkey LIMIT 7", "SELECT n_nationkey, nullif(n_regionkey, 1) AS r FROM nation ORDER BY nullif(n_regionkey, 1) DESC NULLS FIRST, n_nationkey LIMIT 7", dialect="postgres")
+query("dialect_distinct_on", "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey", "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey", dialect="postgres")
+query("dialect_offset_rows", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 5 ROWS", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 5", dialect="sqlserver")
+query("dialect_top_ties", "SELECT TOP (3) WITH TIES n_nationkey, extract(YEAR FROM DATE '2020-05-01') AS y, n_regionkey FROM nation ORDER BY n_regionkey DESC", "SELECT n_nationkey, 2020 AS y, n_regionkey FROM nation WHERE n_regionkey >= (SELECT n_regionkey FROM nation ORDER BY n_regionkey DESC LIMIT 1 OFFSET 2)", dialect="sqlserver")
+query("dialect_time_zone", "SELECT o_orderkey, coalesce(CAST(o_orderdate AS timestamp), CAST('2020-01-01' AS timestamp)) AT TIME ZONE 'UTC' AS t FROM orders WHERE o_orderkey < 100", "SELECT o_orderkey, CAST(o_orderdate AS timestamp) AS t FROM orders WHERE o_orderkey < 100", dialect="postgres")
+query("dialect_date_add", "SELECT o_orderkey, CAST(DATE_ADD(o_orderdate, INTERVAL 2 MONTH) AS date) AS later FROM orders", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 2 MONTH AS date) AS later FROM orders", dialect="mysql")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_SPARK)
 
