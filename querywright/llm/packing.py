@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, ranked, small_batches
+from .common import Scratch, documents, ranked, small_batches, tidy
 from .tokens import encoder, public_path
 
 
@@ -202,7 +202,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int, end_id: int, drops_spa
                 cols.append(pa.array(list(map(bytes, bodies)), pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return df.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def pack(pieces: DataFrame, capacity: int, scratch: Scratch | None = None) -> DataFrame:

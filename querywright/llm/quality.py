@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, tidy
 from .weak_labels import NONE, LabelModel, feature, train_linear
 
 BITS = 14
@@ -132,7 +132,7 @@ def fit(df: DataFrame, sample: int = 20_000) -> tuple[LabelModel, np.ndarray, fl
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], ["w", "b"])
 
     # One task fits on the bounded sample, which all tasks of the scan draw; only the weights come back.
-    got = drawn.repartition(1).mapInArrow(learn, "w binary, b double").first()
+    got = drawn.repartition(1).mapInArrow(tidy(learn), "w binary, b double").first()
     return (model, np.frombuffer(got["w"]), got["b"]) if got else (model, np.zeros(1 << BITS), 0.0)
 
 
@@ -158,7 +158,7 @@ def quality_scores(df: DataFrame, sample: int = 20_000, least: float = 0.5) -> D
 
     names = df.columns
     inner = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(df.dtypes))
-    out = df.mapInArrow(score, f"{inner}, s double, p double, k boolean")
+    out = df.mapInArrow(tidy(score), f"{inner}, s double, p double, k boolean")
     return out.toDF(*names, "score", "posterior", "keep")
 
 

@@ -15,16 +15,18 @@ A table without labels scores every text alike, below the threshold; an empty on
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import distinct, documents, small_batches, tidy
 from .weak_labels import LabelModel, feature, train_linear
 
 BITS = 20
+FEATURE = (1 << BITS) - 1
 LENGTHS = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Kinds of signs that pattern voters look at, after those of whole words and beginnings.
@@ -54,15 +56,15 @@ def signs(token: str) -> list[tuple[int, int]]:
 
 
 class Signs(dict):
-    """Remembers the signs of tokens that matter; forgets all beyond ``most``."""
+    """Remembers the signs of tokens that matter, as kind and feature in one number; forgets all beyond ``most``."""
 
-    def __init__(self, wanted=None, most: int = 500_000):
+    def __init__(self, wanted=None, most: int = 100_000):
         self.wanted, self.most = wanted, most
 
     def __missing__(self, token: str):
         if len(self) >= self.most:
             self.clear()
-        found = tuple((k, f) for k, f in signs(token) if self.wanted is None or f in self.wanted)
+        found = tuple(k << BITS | f for k, f in signs(token) if self.wanted is None or f in self.wanted)
         self[token] = found
         return found
 
@@ -73,15 +75,19 @@ def tokens(text: str | None) -> set[str]:
 
 def _odds(rows, y, pick):
     """Log odds of each feature among picked rows, and how many toxic and clean rows have it."""
-    hit = [np.bincount(np.concatenate([r for r, t, p in zip(rows, y, pick, strict=True) if p and t == c] or [np.zeros(0, np.int64)]), minlength=1 << BITS) for c in (0, 1)]
+    hit = np.zeros((2, 1 << BITS), np.int64)
+    for c in (0, 1):
+        some = [r for r, t, p in zip(rows, y, pick, strict=True) if p and t == c]
+        for i in range(0, len(some), 512):
+            hit[c] += np.bincount(np.concatenate(some[i : i + 512]), minlength=1 << BITS)
     n = [max(1, int((pick & (y == c)).sum())) for c in (0, 1)]
     return np.log((hit[1] + 0.2) / n[1]) - np.log((hit[0] + 0.2) / n[0]), hit[1], hit[0]
 
 
 def learn_from(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float, LabelModel]:
     known = Signs()
-    found = [{s for t in tokens(x) for s in known[t]} for x in texts]
-    rows = [np.unique(np.fromiter((f for _, f in s), np.int64, len(s))) for s in found]
+    found = [distinct(np.fromiter(chain.from_iterable(map(known.__getitem__, tokens(x))), np.int32)) for x in texts]
+    rows = [distinct(s & FEATURE) for s in found]
     y = np.asarray(labels, np.int64)
     half = np.arange(len(y)) % 2
     lexicon = []
@@ -91,14 +97,13 @@ def learn_from(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float,
     ballots = np.full((len(y), len(LENGTHS) + 6), -1)
     for i, s in enumerate(found):
         # rows are judged by the lexicon of the other half
-        lex = lexicon[1 - half[i]]
-        hits = [(k, f) for k, f in s if lex[f]]
-        for k in range(len(LENGTHS) + 1):
-            ballots[i, k] = int(any(j == k for j, _ in hits))
+        hits = s[lexicon[1 - half[i]][s & FEATURE]]
+        kinds = np.bincount(hits >> BITS, minlength=STRETCHED + 1) > 0
+        ballots[i, : len(LENGTHS) + 1] = kinds[: len(LENGTHS) + 1]
         for k in (MASKED, STRETCHED):
-            ballots[i, k] = 1 if any(j == k for j, _ in hits) else -1
+            ballots[i, k] = 1 if kinds[k] else -1
         ballots[i, -3] = 1 if _MARKS.search(texts[i] or "") else -1
-        ballots[i, -2] = 1 if len({f for _, f in hits}) >= 6 else 0 if not hits else -1
+        ballots[i, -2] = 1 if len(distinct(hits & FEATURE)) >= 6 else 0 if not len(hits) else -1
     ballots[:, -1] = y
     patterns, inverse, counts = np.unique(ballots, axis=0, return_inverse=True, return_counts=True)
     first = np.array([0.9 if p[-1] == 1 else 0.05 for p in patterns])
@@ -135,7 +140,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, sample: int = 16_000, thre
         yield pa.RecordBatch.from_arrays([pa.array([on.astype(np.int32).tobytes()], pa.binary()), pa.array([w[on].tobytes()], pa.binary()), pa.array([bias])], ["on", "w", "b"])
 
     picked = df.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
-    got = picked.repartition(1).mapInArrow(learn, "on binary, w binary, b double").first() if n else None
+    got = picked.repartition(1).mapInArrow(tidy(learn), "on binary, w binary, b double").first() if n else None
     weights = dict(zip(np.frombuffer(got["on"], np.int32).tolist(), np.frombuffer(got["w"]).tolist(), strict=True)) if got else {}
     bias = got["b"] if got else -2.0
 
@@ -144,13 +149,13 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, sample: int = 16_000, thre
         for b in batches:
             z = []
             for text in b.column(1).to_pylist():
-                seen = {f for t in tokens(text) for _, f in known[t]}
+                seen = {s & FEATURE for t in tokens(text) for s in known[t]}
                 z.append(bias + sum(weights[f] for f in sorted(seen)))
             s = 1 / (1 + np.exp(-np.clip(np.array(z), -50, 50)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = df.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
