@@ -8,6 +8,7 @@ from pathlib import Path
 
 from .plans import corpus, evolve
 from .plans.catalog import QueryCatalog
+from .plans.schema_checks import check_schema
 from .sources.live import from_sqlite
 from .sources.snapshot import infer, load_snapshot, to_json, verify
 
@@ -51,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         return int(any(k == "breaking" for k, _ in found))
     if a.verb == "lint":
         s = load_snapshot(a.schema)
-        found = corpus.lint_catalog(QueryCatalog(s, s.dialect).load(a.queries), s, a.profile)
+        found = check_schema(s) + corpus.lint_catalog(QueryCatalog(s, s.dialect).load(a.queries), s, a.profile)
         print("\n".join(f"{f.severity} {f.code} {f.query}: {f.message}" for f in found) or "clean")
         return int(any(f.severity == "error" for f in found))
     if a.verb == "impact":

@@ -285,3 +285,24 @@ def test_lazy_rows_are_all_rows(spark, data):
         assert list(lazy_rows(lines, head=head)) == whole
     moved = lines.groupBy("l_orderkey").count()
     assert not repeatable(moved) and sorted(lazy_rows(moved)) == sorted(moved.collect())
+
+
+def test_schema_findings():
+    from querywright.plans.schema_checks import accessor, check_schema
+    from querywright.sources.snapshot import Column, Enum, Function, Index, Param, Procedure, Sequence, Snapshot, Table, UserType
+
+    s = Snapshot("postgres")
+    assert [f.code for f in check_schema(s)] == ["no-schema"]
+    s.tables += [
+        Table("empty"),
+        Table("people", [Column("id", "int", False, True), Column("mail", "text"), Column("user name", "text"), Column("UserName", "text")], [Index("mails", ["mail"], True), Index("starts", ["mail"], True, has_prefix_keys=True), Index("lower", [], True, has_expression_keys=True)]),
+    ]
+    s.sequences += [Sequence("OrderIds"), Sequence("order_ids")]
+    s.enums.append(Enum("mood", ["so-so", "so so", "!!"]))
+    s.user_types.append(UserType("id_list", "TableType"))
+    s.functions += [Function("f", "int", [Param("a", "int")]), Function("F", "int", [Param("b", "text")]), Function("g", "hyperspace", [Param("a", "id_list")])]
+    s.procedures.append(Procedure("p", [Param("rows", "ID_LIST")]))
+    found = [f.code for f in check_schema(s)]
+    want = {"table-skipped": 1, "prefix-key": 1, "expression-key": 1, "non-atomic-upsert": 1, "lossy-rename": 1, "sequence-duplicate": 1, "enum-member": 2, "function-collision": 1, "table-parameter": 2, "function-unmappable": 1}
+    assert {c: found.count(c) for c in want} == want and len(found) == sum(want.values())
+    assert accessor("dbo.GetAll Rows") == "get_all_rows" and accessor("class") == "class_" and accessor("2nd") == "_2nd"
