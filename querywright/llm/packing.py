@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, ranked, small_batches, tidy
-from .tokens import encoder, public_path
+from .tokens import encoder, forget, public_path
 
 
 def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
@@ -174,13 +174,19 @@ def places(bins: list[tuple[Counter, int]]) -> list[tuple[int, int, int, int, in
     return rows
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int, end_id: int, drops_space: bool = False, with_ids: bool = False, most: int = 500_000) -> DataFrame:
+def token_pieces(df: DataFrame, path: str, capacity: int, end_id: int, drops_space: bool = False, with_ids: bool = False, most: int = 500_000, keep: bool = True) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): whole documents, cut only beyond the capacity;
     of a document that is cut, the first piece takes what the full ones leave."""
     small_batches(df.sparkSession)
 
     def run(batches):
-        enc = encoder(path, drops_space, most)
+        try:
+            yield from pieces(batches, encoder(path, drops_space, most))
+        finally:
+            if not keep:
+                forget()
+
+    def pieces(batches, enc):
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -227,9 +233,9 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("p")).select("sequence_id", "length", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.col("p.doc_id").alias("doc_ids"))
 
 
-def pack_documents(df: DataFrame, capacity: int = 1024, path: str | None = None, end_id: int = 2, with_ids: bool = False, most: int = 500_000) -> DataFrame:
-    """``most``: chunks that a worker remembers."""
-    return pack(token_pieces(df, path or public_path("byte_bpe_50k.json"), capacity, end_id, with_ids=with_ids, most=most), capacity)
+def pack_documents(df: DataFrame, capacity: int = 1024, path: str | None = None, end_id: int = 2, with_ids: bool = False, most: int = 500_000, keep: bool = True) -> DataFrame:
+    """``most``: chunks that a worker remembers; ``keep``: beyond the end of a task."""
+    return pack(token_pieces(df, path or public_path("byte_bpe_50k.json"), capacity, end_id, with_ids=with_ids, most=most, keep=keep), capacity)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

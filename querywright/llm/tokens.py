@@ -227,6 +227,11 @@ def encoder(path: str, drops_space: bool, most: int = 500_000) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Free the encoder of this worker process."""
+    _ENCODERS.clear()
+
+
 def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
