@@ -95,8 +95,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Workers remember fewer chunks than a query of their own would, as other stages share their memory."""
-    return pack_documents(docs, most=100_000)
+    """Workers remember fewer chunks than in a query of their own, and none after a task, as other stages share their memory."""
+    return pack_documents(docs, most=100_000, keep=False)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixing", mixing), ("packing", packing)]
