@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, small_batches
+from .common import Scratch, documents, small_batches, tidy
 from .tokens import crc_of, encoder, public_path
 
 MAGIC = b"QWDAC001"
@@ -102,6 +102,20 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, Levels]:
     return np.frombuffer(data, "<i8", n, 12), np.frombuffer(data, "<u4", n, 12 + 8 * n), Levels(memoryview(data)[12 + 12 * n :])
 
 
+def grouped(batches, most: int = 1 << 24):
+    """Batches put together up to ``most`` bytes: words of several batches are looked up once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if held and size + b.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(df: DataFrame, out: str, path: str, end_id: int, drops_space: bool, width: int = 8, segment: int = 1 << 20) -> None:
     """Encode ``df(doc_id, text)`` and write segments of about ``segment`` ids in ascending doc_id order."""
     spark = df.sparkSession
@@ -116,7 +130,7 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int, drops_space: b
 
     def tokenise(batches):
         enc = encoder(path, drops_space)
-        for b in batches:
+        for b in grouped(batches):
             part = np.searchsorted(bounds, b.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
             end = np.array([end_id], enc.dtype).tobytes()
             ids = [x.tobytes() + end for x in enc.encode(b.column(1))]
@@ -147,7 +161,7 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int, drops_space: b
         if docs:
             yield flush()
 
-    tokens = df.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, wide int, part int")
+    tokens = df.select("doc_id", "text").mapInArrow(tidy(tokenise), "doc_id long, ids binary, wide int, part int")
     # Task k has part k, so the files are in the order of doc_id too.
     dealt = tokens.repartitionById(free + len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     dealt.mapInArrow(segments, "part int, number int, tokens long, segment binary").write.option("compression", "uncompressed").parquet(out)

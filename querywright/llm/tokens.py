@@ -4,6 +4,9 @@ A text is cut only where the tokenizer's own pre-tokenizer must cut, whatever st
 so the ids of the chunks in a row are the ids of the text.  A chunk not seen before is cut into the
 pre-tokenizer's pieces, whose ids the tokenizer's model gives; one with rare characters or a special
 token goes through the whole tokenizer.
+
+Where any white space is a cut, the words of a batch and their pieces are cut, told apart and looked up in
+arrays, without a Python object for a word; there only pieces and rare words are remembered.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 # Printable Latin characters, and line ends between them: the classes of these are the same in any version of Unicode.
 _SEEN = "!-~¡-¬®-ɏ"
 _PLAIN = re.compile(rf" ?[{_SEEN}](?:[{_SEEN}\n]*[{_SEEN}])?")
+_LATIN = 0x250
+#: Pieces that the model takes at a time, since it needs some hundred bytes for each.
+_AT_ONCE = 50_000
 #: The pieces of the two pre-tokenizers, as their files and their library give them.
 PIECES = {
     False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    True: r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    True: r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",  # ``plain_words`` cuts by it
 }
 
 
@@ -88,6 +94,40 @@ def sums(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``start`` and have ``n`` members, in a row."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
+
+
+def joined(strings: pa.Array, between: str) -> str:
+    """All strings in one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(strings)], strings), between)[0].as_py()
+
+
+class PieceMemory:
+    """Ids of pieces in arrays.  What is common comes early and stays; at most ``most`` pieces are kept."""
+
+    def __init__(self, dtype: np.dtype, most: int):
+        self.most, self.names = most, pa.array([], pa.string())
+        self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def ids(self, names: pa.Array, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of the ids of distinct pieces, and those ids; ``learn`` gives unknown ones."""
+        at = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy()
+        new = names.filter(pa.array(at < 0))
+        lengths, ids = learn(new) if len(new) else (np.zeros(0, np.int64), self.flat[:0])
+        number = np.where(at < 0, len(self.names) + np.cumsum(at < 0) - 1, at)
+        length, flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, ids])
+        start = np.cumsum(length) - length
+        kept = min(len(new), self.most - len(self.names))
+        if kept:
+            self.names = pa.concat_arrays([self.names, new[:kept]])
+            self.length = length[: len(self.names)]
+            self.flat = flat[: int(self.length.sum())].copy()
+        return start[number], length[number], flat
+
+
 class ChunkEncoder:
     """``drops_space``: the tokenizer discards white space, so any ASCII white space is a cut.
 
@@ -115,6 +155,22 @@ class ChunkEncoder:
         self.pieces.add(np.zeros(1, np.int64), np.zeros(0, self.dtype))
         self.mark = chr(self.letters[1])
         (self.mark_id,) = self.model.encode(self.mark).ids
+        if drops_space:
+            self.most, self.memory, self.rare = most, PieceMemory(self.dtype, most), {}
+            vocab = self.tokenizer.get_vocab()
+            # Ids that stand at the end of a piece only.
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            suffix = self.tokenizer.model.end_of_word_suffix
+            self.ends[[k for t, k in vocab.items() if suffix and t.endswith(suffix)]] = True
+            # Of each Latin character: 0 rare, 1 letter, 2 digit, 3 other; and its lower case, if that is one of them too.
+            self.kind, self.lower = np.zeros(_LATIN, np.uint8), np.arange(_LATIN, dtype=np.uint32)
+            for c in filter(re.compile(f"[{_SEEN}]").fullmatch, map(chr, range(_LATIN))):
+                low = self.tokenizer.normalizer.normalize_str(c)
+                if len(low) == 1 and ord(low) < _LATIN:
+                    self.kind[ord(c)] = 1 if regex.match(r"\p{L}", low) else 2 if regex.match(r"\p{N}", low) else 3
+                    self.lower[ord(c)] = ord(low)
+            common = "".join(re.escape(chr(c)) for c in np.flatnonzero(self.kind).tolist())
+            self.odd = "|".join([f"[^{common}]", *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
 
     @staticmethod
     def careful(text: str) -> list[str]:
@@ -123,12 +179,97 @@ class ChunkEncoder:
 
     def learn_pieces(self) -> None:
         """Ids of the pieces that are not known, which have no control characters."""
-        new = self.pieces.new
-        letters = " ".join(new).encode().decode("latin-1").translate(self.letters | {32: 32}) if self.drops_space else "\t".join(new).encode().decode("latin-1").translate(self.letters | {9: 32})
-        ids = np.array(self.model.encode_batch_fast([letters.replace(" ", f" {self.mark} ")], add_special_tokens=False)[0].ids, self.dtype)
+        self.pieces.add(*self.model_ids("\t".join(self.pieces.new)))
+
+    def letters_of(self, pieces: str) -> str:
+        """The model's letters of pieces with tabs between them, with spaces instead of these."""
+        return pieces.encode().decode("latin-1").translate(self.letters | {9: 32})
+
+    def model_ids(self, pieces: str) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids, of pieces with tabs between them."""
+        ids = np.array(self.model.encode_batch_fast([self.letters_of(pieces).replace(" ", f" {self.mark} ")], add_special_tokens=False)[0].ids, self.dtype)
         marks = ids == self.mark_id
         at = np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])
-        self.pieces.add(np.diff(at) - 1, ids[~marks])
+        return np.diff(at) - 1, ids[~marks]
+
+    def model_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``model_ids``, for an array of pieces without white space; ids that can only end a piece need no marks."""
+        lengths, out = [], []
+        for k in range(0, len(pieces), _AT_ONCE):
+            part = pieces[k : k + _AT_ONCE]
+            text = joined(part, "\t")
+            # Printable ASCII stands for itself.
+            letters = text.replace("\t", " ") if text.isascii() else self.letters_of(text)
+            ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(part):
+                n = np.diff(at, prepend=-1)
+            else:
+                n, ids = self.model_ids(text)
+            lengths.append(n)
+            out.append(ids)
+        return np.concatenate(lengths), np.concatenate(out)
+
+    def plain_words(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Of words of Latin characters: number of pieces of each, and the pieces in lower case."""
+        if not len(words):
+            return np.zeros(0, np.int64), pa.array([], pa.string())
+        text = joined(words, "")
+        points = self.lower[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        size = pc.utf8_length(words).to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        kind = self.kind[points]
+        # What lies beyond the last character begins anew.
+        begins = np.zeros(len(points) + 4, bool)
+        begins[first] = True
+        begins[len(points) :] = True
+        cut = begins.copy()
+        cut[1 : len(points)] |= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        # 's, 't, 'm, 'd, 're, 've and 'll are pieces where a run of marks begins with them.
+        for p in np.flatnonzero((points == 39) & cut[: len(points)] & ~begins[1 : len(points) + 1]).tolist():
+            tail = "".join(map(chr, points[p + 1 : p + (2 if begins[p + 2] else 3)].tolist()))
+            n = 2 if tail[:1] in ("s", "t", "m", "d") else 3 if tail in ("re", "ve", "ll") else 0
+            if n:
+                cut[p + 1], cut[p + n] = False, True
+        at = np.flatnonzero(cut[: len(points)])
+        # Characters below 128 take a byte, the others two.
+        byte = np.arange(len(points) + 1) + np.concatenate([[0], np.cumsum(points > 127)])
+        offsets = np.append(byte[at], byte[-1]).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(points.tobytes().decode("utf-32-le").encode()))
+        return np.diff(np.searchsorted(at, np.append(first, len(points)))), pieces
+
+    def words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of the ids of distinct words, and those ids."""
+        odd = pc.match_substring_regex(names, self.odd).to_numpy(zero_copy_only=False)
+        counts, pieces = self.plain_words(names.filter(pa.array(~odd)))
+        coded = pieces.dictionary_encode()
+        begin, n, flat = self.memory.ids(coded.dictionary, self.model_of)
+        at = coded.indices.to_numpy()
+        length = np.zeros(len(names), np.int64)
+        length[~odd] = sums(n[at], counts)
+        out = [flat[runs(begin[at], n[at])]]
+        apart = names.filter(pa.array(odd)).to_pylist()
+        for word in apart:
+            ids = self.rare.get(word)
+            if ids is None:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+                if len(self.rare) < self.most:
+                    self.rare[word] = ids
+            out.append(np.frombuffer(ids, self.dtype))
+        length[odd] = [len(x) for x in out[1:]]
+        # Plain words lie before the others.
+        start = np.zeros(len(names), np.int64)
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        start[order] = np.cumsum(length[order]) - length[order]
+        return start, length, np.concatenate(out)
+
+    def encode_words(self, lists: pa.ListArray) -> list[np.ndarray]:
+        """Ids of texts cut into words."""
+        coded = lists.flatten().dictionary_encode()
+        start, length, flat = self.words(coded.dictionary.cast(pa.string()))
+        at = coded.indices.to_numpy()
+        n = length[at]
+        return np.split(flat[runs(start[at], n)], np.cumsum(sums(n, np.diff(lists.offsets.to_numpy())))[:-1])
 
     def learn_chunks(self) -> None:
         """Ids of the keys that are not known."""
@@ -137,16 +278,13 @@ class ChunkEncoder:
         if self.special("\t".join(new)):
             plain = [m and not self.special(k) for k, m in zip(new, plain, strict=True)]
         # Keys that follow a space, keys that stand for themselves, and those that go through the whole tokenizer.
-        first = [False] * len(new) if self.drops_space else [k[:1] == " " for k in new]
+        first = [k[:1] == " " for k in new]
         kind = np.where(np.array([m is None or m is False for m in plain], bool), 2, np.array(first, bool).astype(np.int64))
         lengths = np.zeros(len(new), np.int64)
         found: list[str] = []
         spaced, own, odd = (np.flatnonzero(kind == k).tolist() for k in range(3))
         if spaced:
-            text = "\t".join([new[k] for k in spaced]) if self.drops_space else " " + "\t ".join([new[k] for k in spaced])
-            if self.drops_space:
-                text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text.replace("\t", "\x01")).replace("\x01", "\t")
-            found += self.find(text)
+            found += self.find(" " + "\t ".join([new[k] for k in spaced]))
             found.append("\t")
         if own:
             found += self.find("\t".join([new[k][1:] for k in own]))
@@ -159,10 +297,10 @@ class ChunkEncoder:
         self.pieces.trim()
         for k in odd:
             key = new[k]
-            if not self.drops_space and (not key or key[0] != " " and (key[0].isspace() or key[-1].isspace())):
+            if not key or key[0] != " " and (key[0].isspace() or key[-1].isspace()):
                 lengths[k] = -1
                 continue
-            text = key if self.drops_space else key[1:] if key[0] == " " else " " + key
+            text = key[1:] if key[0] == " " else " " + key
             ids.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
             lengths[k] = len(ids[-1])
         at = np.array(spaced + own, np.int64)
@@ -183,24 +321,28 @@ class ChunkEncoder:
         if not len(column):
             return []
         column = column.fill_null("")
-        lists = pc.ascii_split_whitespace(column) if self.drops_space else pc.split_pattern(column, " ")
+        if self.drops_space:
+            out = self.encode_words(pc.ascii_split_whitespace(column))
+            odd = pc.or_(pc.match_substring(column, "\x0b"), pc.match_substring(column, "\x0c"))
+            apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+            cut = pa.array([re.split(r"[ \t\n\r]+", column[i].as_py()) for i in apart], pa.list_(pa.string()))
+            for i, ids in zip(apart, self.encode_words(cut) if apart else [], strict=True):
+                out[i] = ids
+            return out
+        lists = pc.split_pattern(column, " ")
         coded = lists.flatten().dictionary_encode()
         names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         counts = np.diff(lists.offsets.to_numpy())
         numbers = self.chunks.numbers(names, len(names))[at]
         apart: dict[int, list[str]] = {}
-        if self.drops_space:
-            odd = pc.or_(pc.match_substring(column, "\x0b"), pc.match_substring(column, "\x0c"))
-            apart = {i: re.split(r"[ \t\n\r]+", column[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-        else:
-            # The first word of a text has no space before it.
-            begin = np.cumsum(counts) - counts
-            for i, (k, n) in enumerate(zip(begin.tolist(), counts.tolist(), strict=True)):
-                word = names[at[k]]
-                if not word or n > 1 and word[-1].isspace():
-                    apart[i] = self.careful(column[i].as_py())
-                else:
-                    numbers[k] = self.chunks[" " + word]
+        # The first word of a text has no space before it.
+        begin = np.cumsum(counts) - counts
+        for i, (k, n) in enumerate(zip(begin.tolist(), counts.tolist(), strict=True)):
+            word = names[at[k]]
+            if not word or n > 1 and word[-1].isspace():
+                apart[i] = self.careful(column[i].as_py())
+            else:
+                numbers[k] = self.chunks[" " + word]
         if self.chunks.new:
             self.learn_chunks()
         length = self.chunks.length[numbers]
